@@ -29,4 +29,7 @@ def register(name: str, check: str | None = None) -> Callable[[Callable[[Lake],
 
 def load() -> None:
     """Import every module that registers queries."""
-    from ledgerwind.plans import queries_features  # noqa: F401
+    from ledgerwind.plans import (  # noqa: F401
+        queries_features,
+        queries_text,
+    )

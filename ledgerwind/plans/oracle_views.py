@@ -228,3 +228,59 @@ SELECT g.facility_id, g.d AS event_date,
 FROM lop_grid_v g JOIN lop_v l ON l.facility_id = g.facility_id
 GROUP BY ALL
 """)
+
+from ledgerwind import fixed_values as fv  # noqa: E402
+from ledgerwind.sources.questions import CUSTOMER_QUESTION, LOG_QUESTION, LOG_SQL  # noqa: E402
+
+view("questions_v", f"""
+SELECT concat('c-', c_custkey) AS question_id, {CUSTOMER_QUESTION} AS question
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+UNION ALL
+SELECT concat('t-', conv_id, '-', turn), text FROM conversations WHERE role = 'user'
+""")
+
+view("query_log_v", f"""
+SELECT o_orderkey AS log_id, {LOG_QUESTION} AS question, {LOG_SQL} AS sql_text,
+       CAST(floor(o_totalprice) AS BIGINT) AS row_count, CAST(o_orderdate AS DATE) AS asked_on
+FROM orders
+""")
+
+
+def literal_list(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def folded(text: str) -> str:
+    """Text whose non-ASCII letters are ``_`` (a word character) and other non-ASCII ``.``.
+
+    RE2's word boundary only knows ASCII; this gives it the Unicode meaning.
+    """
+    return rf"regexp_replace(regexp_replace({text}, '[^\x00-\x7F\p{{L}}\p{{N}}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
+def names_sql(text: str) -> str:
+    return (
+        f"list_filter(regexp_extract_all({folded(text)}, '{fv.PROPER_NAME_PATTERN}'), "
+        rf"lambda m: NOT list_has_any(regexp_split_to_array(lower(m), '\s+'), {literal_list(fv.ALLOWED_NAME_WORDS)}))"
+    )
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def scan_sql(text: str) -> str:
+    rules = " ".join(
+        f"WHEN regexp_matches({text}, {quoted(pattern)}) THEN '{label}'" for label, pattern in fv.PHI_PATTERNS
+    )
+    return f"CASE {rules} WHEN len({names_sql(text)}) > 0 THEN '{fv.PERSON_LABEL}' END"
+
+
+def cleaned_sql(text: str) -> str:
+    for _, pattern in fv.PHI_PATTERNS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, '{fv.REDACTED}', 'g')"
+    return text
+
+
+def normal_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
