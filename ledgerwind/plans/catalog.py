@@ -31,5 +31,6 @@ def load() -> None:
     """Import every module that registers queries."""
     from ledgerwind.plans import (  # noqa: F401
         queries_features,
+        queries_ingest,
         queries_text,
     )
