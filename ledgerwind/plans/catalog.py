@@ -31,6 +31,7 @@ def load() -> None:
     """Import every module that registers queries."""
     from ledgerwind.plans import (  # noqa: F401
         queries_features,
+        queries_forecast,
         queries_ingest,
         queries_text,
     )

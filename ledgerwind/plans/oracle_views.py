@@ -284,3 +284,116 @@ def cleaned_sql(text: str) -> str:
 
 def normal_sql(text: str) -> str:
     return f"trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+view("daily3_v", """
+SELECT 'facility' AS entity_type, facility_id AS entity_id, collection_date AS d, sum(amount_collected) AS y FROM collections_v GROUP BY ALL
+UNION ALL
+SELECT 'attorney', attorney_id, collection_date, sum(amount_collected) FROM collections_v GROUP BY ALL
+UNION ALL
+SELECT 'case_type', case_type, collection_date, sum(amount_collected) FROM collections_v GROUP BY ALL
+""")
+
+view("dense3_v", """
+SELECT g.entity_type, g.entity_id, g.d, g.t, g.n, coalesce(f.y, 0) AS y
+FROM (SELECT entity_type, entity_id, n, d0 + CAST(i AS INTEGER) AS d, CAST(i AS BIGINT) AS t
+      FROM (SELECT entity_type, entity_id, min(d) AS d0, datediff('day', min(d), max(d)) + 1 AS n,
+                   unnest(generate_series(0, datediff('day', min(d), max(d)))) AS i
+            FROM daily3_v GROUP BY entity_type, entity_id)) g
+LEFT JOIN daily3_v f ON f.entity_type = g.entity_type AND f.entity_id = g.entity_id AND f.d = g.d
+""")
+
+# run 2 is the whole series, run 1 stops a year earlier
+view("runs_v", """
+SELECT 2 AS run, entity_type, entity_id, d, t, n, y FROM dense3_v
+UNION ALL
+SELECT 1, entity_type, entity_id, d, t, n - 365, y FROM dense3_v WHERE t < n - 365
+""")
+
+view("train_v", """
+SELECT run, entity_type, entity_id, -1 AS fold, d, t, y FROM runs_v WHERE run = 2
+UNION ALL
+SELECT run, entity_type, entity_id, f.fold, d, t, y FROM runs_v, (SELECT unnest([0, 1, 2, 3]) AS fold) f
+WHERE n - (f.fold + 1) * 30 >= 30 AND t < n - (f.fold + 1) * 30
+  AND f.fold < CASE WHEN n < 90 THEN greatest(1, floor((n - 30) / 30.0) - 1) ELSE 4 END
+""")
+
+view("line_v", """
+SELECT run, entity_type, entity_id, fold, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept,
+       count(*) AS n, max(d) AS last_d
+FROM train_v GROUP BY ALL
+""")
+
+view("detrended_v", """
+SELECT t.run, t.entity_type, t.entity_id, t.fold, isodow(t.d) - 1 AS wd, month(t.d) AS mo, t.y - (l.slope * t.t + l.intercept) AS e
+FROM train_v t JOIN line_v l USING (run, entity_type, entity_id, fold)
+""")
+
+view("weekday_v", "SELECT run, entity_type, entity_id, fold, wd, avg(e) AS off FROM detrended_v GROUP BY ALL")
+
+view("deseasoned_v", """
+SELECT run, entity_type, entity_id, fold, mo, e - w.off AS e FROM detrended_v JOIN weekday_v w USING (run, entity_type, entity_id, fold, wd)
+""")
+
+view("monthly_v", "SELECT run, entity_type, entity_id, fold, mo, avg(e) AS off FROM deseasoned_v GROUP BY ALL")
+
+view("resid_v", """
+SELECT run, entity_type, entity_id, fold, stddev_pop(e - m.off) AS sigma
+FROM deseasoned_v JOIN monthly_v m USING (run, entity_type, entity_id, fold, mo) GROUP BY ALL
+""")
+
+view("ahead_v", """
+SELECT l.run, l.entity_type, l.entity_id, l.fold, i.i, l.last_d + CAST(i.i AS INTEGER) AS d,
+       greatest(0, l.slope * (l.n + i.i - 1) + l.intercept + coalesce(w.off, 0) + coalesce(m.off, 0)) AS predicted
+FROM line_v l
+JOIN (SELECT unnest(generate_series(1, 90)) AS i) i ON l.fold = -1 OR i.i <= 30
+LEFT JOIN weekday_v w ON w.run = l.run AND w.entity_type = l.entity_type AND w.entity_id = l.entity_id AND w.fold = l.fold
+      AND w.wd = isodow(l.last_d + CAST(i.i AS INTEGER)) - 1
+LEFT JOIN monthly_v m ON m.run = l.run AND m.entity_type = l.entity_type AND m.entity_id = l.entity_id AND m.fold = l.fold
+      AND m.mo = month(l.last_d + CAST(i.i AS INTEGER))
+""")
+
+view("bands_v", """
+SELECT run, entity_type, entity_id, fold, h AS horizon_days, last_d, round(total, 2) AS predicted,
+       round(greatest(0, total - 1.2816 * sigma * sqrt(h)), 2) AS ci_lower, round(total + 1.2816 * sigma * sqrt(h), 2) AS ci_upper,
+       round(total + 1.96 * sigma * sqrt(h), 2) AS p95
+FROM (SELECT run, entity_type, entity_id, fold, CAST(h AS INTEGER) AS h, max(l.last_d) AS last_d, sum(predicted) AS total
+      FROM ahead_v JOIN line_v l USING (run, entity_type, entity_id, fold), (SELECT unnest([30, 60, 90]) AS h)
+      WHERE i <= h AND (fold = -1 OR h = 30) GROUP BY ALL) JOIN resid_v USING (run, entity_type, entity_id, fold)
+""")
+
+view("fold_results_v", """
+SELECT b.run, b.entity_type, b.entity_id, b.fold, a.actual, b.predicted, b.ci_lower, b.ci_upper
+FROM bands_v b
+JOIN (SELECT run, entity_type, entity_id, f.fold, sum(y) AS actual FROM runs_v, (SELECT unnest([0, 1, 2, 3]) AS fold) f
+      WHERE t >= n - (f.fold + 1) * 30 AND t < n - f.fold * 30 GROUP BY ALL) a USING (run, entity_type, entity_id, fold)
+WHERE b.fold >= 0 AND a.actual > 0
+""")
+
+view("backtest_v", """
+SELECT r.run, r.entity_type, r.entity_id, CAST(r.n AS BIGINT) AS history_days, f.mape, f.rmse, f.coverage, f.bias, coalesce(f.folds, 0) AS folds
+FROM (SELECT DISTINCT run, entity_type, entity_id, n FROM runs_v) r
+LEFT JOIN (SELECT run, entity_type, entity_id, avg(abs(predicted - actual) / actual) AS mape,
+                  sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse,
+                  avg(CASE WHEN actual BETWEEN ci_lower AND ci_upper THEN 1.0 ELSE 0.0 END) AS coverage,
+                  avg((predicted - actual) / actual) AS bias, count(*) AS folds
+           FROM fold_results_v GROUP BY ALL) f USING (run, entity_type, entity_id)
+""")
+
+view("gate_v", """
+SELECT 'collections_' || n.entity_type || '_' || n.entity_id AS model_name, 2 AS version, n.mape, o.mape AS champion_mape,
+       CASE WHEN n.mape IS NOT NULL AND o.mape IS NOT NULL THEN (n.mape - o.mape) * 100 <= 1.0
+            ELSE o.mape IS NULL AND n.mape IS NOT NULL END AS promoted,
+       coalesce((n.mape - o.mape) * 100 > 3.0, false) AS blocked
+FROM backtest_v n JOIN backtest_v o ON o.entity_type = n.entity_type AND o.entity_id = n.entity_id AND o.run = 1
+WHERE n.run = 2
+""")
+
+view("registry_v", """
+SELECT 'collections_' || entity_type || '_' || entity_id AS model_name, 1 AS version,
+       CASE WHEN g.promoted THEN 'Archived' ELSE 'Production' END AS stage, b.mape, b.coverage
+FROM backtest_v b JOIN gate_v g ON g.model_name = 'collections_' || entity_type || '_' || entity_id WHERE b.run = 1
+UNION ALL
+SELECT model_name, 2, CASE WHEN promoted THEN 'Production' ELSE 'Staging' END, b.mape, b.coverage
+FROM gate_v JOIN backtest_v b ON model_name = 'collections_' || entity_type || '_' || entity_id AND b.run = 2
+""")
