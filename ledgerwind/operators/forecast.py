@@ -131,42 +131,74 @@ def fold_count(n: Column, horizon: int, folds: int) -> Column:
     return F.when(n < horizon * 2 + fv.MIN_HISTORY_DAYS, fewer).otherwise(folds).cast("int")
 
 
-def backtest_folds(
-    series: DataFrame, keys: Sequence[str], horizon: int = 30, folds: int = fv.BACKTEST_FOLDS, forecaster: Forecaster = fit_seasonal_trend
+def _fold_totals(
+    series: DataFrame, keys: Sequence[str], horizon: int, folds: int, forecaster: Forecaster
 ) -> DataFrame:
-    """Walk-forward folds: actual and predicted totals of each held-out window.
+    """Held-out and predicted totals per key and fold; a key without folds keeps one empty row.
 
     Daily rows are copied to the folds that train or test on them (at most
-    ``folds`` times), after the facts have been aggregated.
+    ``folds`` times), after the facts have been aggregated.  The copies keep the
+    series' hash partitioning, so fitting all folds adds no shuffle.
     """
-    cutoff = F.col("n") - (F.col("fold") + 1) * horizon
+    start = lambda fold: F.col("n") - (fold + 1) * horizon
+    usable = F.filter(
+        F.sequence(F.lit(0), fold_count(F.col("n"), horizon, folds) - 1), lambda f: start(f) >= fv.MIN_HISTORY_DAYS
+    )
+    touched = F.filter(usable, lambda f: F.col("t") < start(f) + horizon)
     copied = (
-        series.withColumn("fold", F.explode(F.sequence(F.lit(0), fold_count(F.col("n"), horizon, folds) - 1)))
-        .withColumn("_cutoff", cutoff)
-        .filter((F.col("_cutoff") >= fv.MIN_HISTORY_DAYS) & (F.col("t") < F.col("_cutoff") + horizon))
+        series.withColumn("_touched", touched)
+        .filter((F.size("_touched") > 0) | ((F.size(usable) == 0) & (F.col("t") == 0)))
+        .select("*", F.explode_outer("_touched").alias("fold"))
     )
-    trains = F.col("t") < F.col("_cutoff")
+    trains = F.col("t") < start(F.col("fold"))
     split = copied.select(
-        *keys, "fold", "ds", "t", F.when(trains, F.col("y")).alias("y"), F.when(~trains, F.col("y")).alias("y_test")
+        *keys,
+        F.col("n").alias("history_days"),
+        "fold",
+        "ds",
+        "t",
+        F.when(trains, F.col("y")).alias("y"),
+        F.when(~trains, F.col("y")).alias("y_test"),
     )
-    models = forecaster(split, [*keys, "fold"]).filter("actual > 0")
-    return with_bands(models, F.lit(horizon)).select(*keys, "fold", "actual", "predicted", "ci_lower", "ci_upper")
+    return with_bands(forecaster(split, [*keys, "history_days", "fold"]), F.lit(horizon))
+
+
+def backtest_folds(
+    series: DataFrame,
+    keys: Sequence[str] = tuple(ENTITY),
+    horizon: int = 30,
+    folds: int = fv.BACKTEST_FOLDS,
+    forecaster: Forecaster = fit_seasonal_trend,
+) -> DataFrame:
+    """Walk-forward folds: actual and predicted totals of each held-out window."""
+    totals = _fold_totals(series, keys, horizon, folds, forecaster).filter("actual > 0")
+    return totals.select(*keys, "fold", "actual", "predicted", "ci_lower", "ci_upper")
 
 
-def backtest(series: DataFrame, keys: Sequence[str] = tuple(ENTITY), horizon: int = 30, **options) -> DataFrame:
+def backtest(
+    series: DataFrame,
+    keys: Sequence[str] = tuple(ENTITY),
+    horizon: int = 30,
+    folds: int = fv.BACKTEST_FOLDS,
+    forecaster: Forecaster = fit_seasonal_trend,
+) -> DataFrame:
     """MAPE, RMSE, interval coverage and signed bias per entity; nulls without folds."""
-    results = backtest_folds(series, keys, horizon, **options)
-    error = (F.col("predicted") - F.col("actual")) / F.col("actual")
-    covered = F.col("actual").between(F.col("ci_lower"), F.col("ci_upper")).cast("double")
-    measured = results.groupBy(*keys).agg(
-        F.avg(F.abs(error)).alias("mape"),
-        F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("actual"), 2))).alias("rmse"),
-        F.avg(covered).alias("coverage"),
-        F.avg(error).alias("bias"),
-        F.count("*").alias("folds"),
+    counts = F.col("actual") > 0
+    miss = F.when(counts, F.col("predicted") - F.col("actual"))
+    error = F.try_divide(miss, F.col("actual"))
+    covered = F.when(counts, F.col("actual").between(F.col("ci_lower"), F.col("ci_upper")).cast("double"))
+    return (
+        _fold_totals(series, keys, horizon, folds, forecaster)
+        .groupBy(*keys)
+        .agg(
+            F.max("history_days").alias("history_days"),
+            F.avg(F.abs(error)).alias("mape"),
+            F.sqrt(F.avg(miss * miss)).alias("rmse"),
+            F.avg(covered).alias("coverage"),
+            F.avg(error).alias("bias"),
+            F.count(miss).alias("folds"),
+        )
     )
-    everyone = series.groupBy(*keys).agg(F.max("n").alias("history_days"))
-    return everyone.join(measured, list(keys), "left").withColumn("folds", F.coalesce("folds", F.lit(0)))
 
 
 def model_name() -> Column:

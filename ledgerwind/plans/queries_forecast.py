@@ -9,6 +9,7 @@ from ledgerwind.functions.numeric import rounded
 from ledgerwind.operators import forecast as fc
 from ledgerwind.operators import registry as rg
 from ledgerwind.plans.catalog import register
+from ledgerwind.session import materialise
 from ledgerwind.sources import business
 from ledgerwind.sources.tables import Lake
 
@@ -129,7 +130,7 @@ def _backtest(lake: Lake) -> DataFrame:
        FROM fold_results_v WHERE run = 2""",
 )
 def _folds(lake: Lake) -> DataFrame:
-    return rounded(fc.backtest_folds(series(lake), E), {"actual": 4})
+    return rounded(fc.backtest_folds(series(lake)), {"actual": 4})
 
 
 def two_runs(lake: Lake) -> DataFrame:
@@ -143,7 +144,7 @@ def two_runs(lake: Lake) -> DataFrame:
         lambda r: F.col("t") < r["n"],
     )
     both = whole.withColumnRenamed("n", "_n").withColumn("n", F.col("_n")).select(*E, "ds", "t", "y", F.inline(runs))
-    return fc.backtest(both, [*E, "run"]).withColumn("model_name", fc.model_name())
+    return materialise(fc.backtest(both, [*E, "run"]).withColumn("model_name", fc.model_name()), "backtests")
 
 
 METRICS = ["model_name", "mape", "rmse", "coverage", "bias"]

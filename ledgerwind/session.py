@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # daily frames are small in bytes but heavy in window work: keep them spread
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -54,3 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
 @lru_cache
 def _local_scratch(application_id: str) -> str:
     return tempfile.mkdtemp(prefix=f"ledgerwind-{application_id}-")
+
+
+def materialise(frame: DataFrame, name: str) -> DataFrame:
+    """Write a small result once to the shared folder and read it back.
+
+    Used where several later steps read the same derived frame; the files
+    survive lost executors, so nothing upstream is recomputed.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
