@@ -21,7 +21,7 @@ def register(name: str, check: str | None = None) -> Callable[[Callable[[Lake],
     def keep(build: Callable[[Lake], DataFrame]) -> Callable[[Lake], DataFrame]:
         QUERIES[name] = lambda spark, folder: build(Lake(spark, folder))
         if check is not None:
-            CHECKS[name] = statement(check)
+            CHECKS[name] = check
         return build
 
     return keep
@@ -30,8 +30,14 @@ def register(name: str, check: str | None = None) -> Callable[[Callable[[Lake],
 def load() -> None:
     """Import every module that registers queries."""
     from ledgerwind.plans import (  # noqa: F401
+        queries_alerts,
         queries_features,
         queries_forecast,
         queries_ingest,
         queries_text,
     )
+
+
+def check_statements() -> dict[str, str]:
+    """The full DuckDB statement of every query that has one."""
+    return {name: statement(check) for name, check in CHECKS.items()}

@@ -1,7 +1,7 @@
 """Named DuckDB subqueries that the check statements are assembled from.
 
 ``statement(body)`` prefixes a statement with exactly the views it mentions,
-directly or through other views, in definition order.
+directly or through other views, each after those it reads.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ def view(name: str, text: str) -> None:
 
 
 def statement(body: str) -> str:
-    wanted: set[str] = set()
-    queue = [body]
-    while queue:
-        text = queue.pop()
+    ordered: list[str] = []
+
+    def need(text: str, inside: str = "") -> None:
         for name in VIEWS:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                wanted.add(name)
-                queue.append(VIEWS[name])
-    ordered = [n for n in VIEWS if n in wanted]
+            if name != inside and name not in ordered and re.search(rf"\b{name}\b", text):
+                need(VIEWS[name], name)
+                ordered.append(name)
+
+    need(body)
     if not ordered:
         return body.strip()
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in ordered) + "\n" + body.strip()
@@ -397,3 +397,94 @@ UNION ALL
 SELECT model_name, 2, CASE WHEN promoted THEN 'Production' ELSE 'Staging' END, b.mape, b.coverage
 FROM gate_v JOIN backtest_v b ON model_name = 'collections_' || entity_type || '_' || entity_id AND b.run = 2
 """)
+
+
+view("deviation_v", """
+SELECT s.entity_type, s.entity_id, 'collections_7d' AS metric, 'forecast_deviation' AS detector, f.predicted * (7.0 / 30.0) AS expected,
+       s.actual, (s.actual - f.predicted * (7.0 / 30.0)) / (f.predicted * (7.0 / 30.0)) AS deviation_pct, CAST(NULL AS DOUBLE) AS score
+FROM (SELECT entity_type, entity_id, sum(y) AS actual FROM dense3_v WHERE n >= 7 AND t >= n - 7 GROUP BY ALL) s
+JOIN (SELECT entity_type, entity_id, CAST(predicted AS DOUBLE) AS predicted FROM bands_v WHERE fold = -1 AND horizon_days = 30) f USING (entity_type, entity_id)
+WHERE f.predicted > 0
+""")
+
+view("deviation_findings_v", """
+SELECT d.*, CASE WHEN deviation_pct <= forecast_deviation_p1_pct THEN 'P1' ELSE 'P2' END AS severity
+FROM deviation_v d JOIN thresholds_v USING (entity_type, entity_id) WHERE deviation_pct <= forecast_deviation_p2_pct
+""")
+
+view("cusum_ref_v", """
+SELECT entity_type, entity_id, avg(y) AS mu, stddev_samp(y) AS sigma
+FROM dense3_v WHERE n - t > 90 AND n - t <= 180 AND n >= 100 GROUP BY ALL
+""")
+
+view("cusum_z_v", """
+SELECT entity_type, entity_id, t - (n - 90) AS i, y, mu, (y - mu) / sigma + 0.5 AS step
+FROM dense3_v JOIN cusum_ref_v USING (entity_type, entity_id) WHERE n - t <= 90 AND sigma > 0
+""")
+
+# the recurrence itself, one step per level of recursion
+view("cusum_walk_v", """
+SELECT entity_type, entity_id, i, y, mu, least(0, step) AS s FROM cusum_z_v WHERE i = 0
+UNION ALL
+SELECT z.entity_type, z.entity_id, z.i, z.y, z.mu, least(0, w.s + z.step)
+FROM cusum_walk_v w JOIN cusum_z_v z ON z.entity_type = w.entity_type AND z.entity_id = w.entity_id AND z.i = w.i + 1
+""")
+
+view("cusum_v", """
+SELECT entity_type, entity_id, max(mu) AS expected, arg_max(y, i) AS actual, abs(min(s)) AS score FROM cusum_walk_v GROUP BY ALL
+""")
+
+view("cusum_findings_v", """
+SELECT entity_type, entity_id, 'collections_1d_cusum' AS metric, 'cusum' AS detector, expected, actual,
+       CAST(NULL AS DOUBLE) AS deviation_pct, score, CASE WHEN score >= cusum_p1_sigma THEN 'P1' ELSE 'P2' END AS severity
+FROM cusum_v JOIN thresholds_v USING (entity_type, entity_id) WHERE score >= cusum_p2_sigma
+""")
+
+view("findings_v", """
+SELECT 1 AS place, entity_type, entity_id, metric, detector, expected, actual, deviation_pct, score, severity FROM deviation_findings_v
+UNION ALL
+SELECT 2, entity_type, entity_id, metric, detector, expected, actual, deviation_pct, score, severity FROM cusum_findings_v
+""")
+
+view("combined_v", """
+SELECT b.entity_type, b.entity_id, b.metric, b.detector, b.expected, b.actual, b.deviation_pct, b.score,
+       CASE WHEN c.k >= 2 AND b.severity <> 'P1' THEN 'P1' ELSE b.severity END AS severity,
+       c.k >= 2 AND b.severity <> 'P1' AS escalated, CASE WHEN c.k >= 2 AND b.severity <> 'P1' THEN c.names END AS agreeing_detectors
+FROM (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY severity, place) AS rn FROM findings_v) b
+JOIN (SELECT entity_type, entity_id, count(*) AS k, string_agg(detector, ',' ORDER BY place) AS names FROM findings_v
+      WHERE severity IN ('P1', 'P2') GROUP BY ALL) c USING (entity_type, entity_id)
+WHERE rn = 1
+""")
+
+
+def title_sql(text: str) -> str:
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({text}, '([A-Za-z]+|[^A-Za-z]+)'), "
+        "lambda r: upper(r[1]) || lower(r[2:])), '')"
+    )
+
+
+def whole_sql(value: str) -> str:
+    return f"format('{{:,}}', CAST(printf('%.0f', {value}) AS BIGINT))"
+
+
+view("velocity_latest_v", f"""
+SELECT settlement_velocity_change_30d AS v, 'settlement velocity down ' || printf('%.0f', abs(settlement_velocity_change_30d) * 100) || '% (Attorney ' ||
+       {title_sql('attorney_id')} || ')' AS text
+FROM settlement_features_v f
+WHERE event_date = (SELECT max(event_date) FROM settlement_features_v g WHERE g.attorney_id = f.attorney_id AND g.case_type = f.case_type)
+  AND settlement_velocity_change_30d < -0.15
+""")
+
+view("turnaround_latest_v", f"""
+SELECT facility_id AS entity_id, -lop_turnaround_days_p50 AS v, 'LOP turnaround elevated at ' || {whole_sql('lop_turnaround_days_p50')} || ' days median' AS text
+FROM lop_features_v f WHERE event_date = (SELECT max(event_date) FROM lop_features_v g WHERE g.facility_id = f.facility_id)
+  AND lop_turnaround_days_p50 > 45
+""")
+
+view("driver_v", """
+SELECT entity_type, entity_id, coalesce('Likely driver: ' || (
+         SELECT text FROM (SELECT v, text FROM velocity_latest_v UNION ALL SELECT v, text FROM turnaround_latest_v t WHERE t.entity_id = e.entity_id)
+         ORDER BY v, text LIMIT 1) || '.', 'No single dominant driver identified in current feature signals.') AS driver_narrative
+FROM entities_v e
+""")
