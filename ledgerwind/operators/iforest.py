@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwind import fixed_values as fv
 from ledgerwind.operators.detect import severity_below
 from ledgerwind.operators.forecast import ENTITY
 from ledgerwind.operators.thresholds import Overrides, with_thresholds
@@ -125,31 +126,40 @@ def score_rows(vectors: DataFrame, forests: DataFrame, features: Sequence[str])
     return scored.select("entity_id", "event_date", (-F.pow(F.lit(2.0), -F.col("depth") / expected)).alias("raw_score"))
 
 
-def anomaly_scores(vectors: DataFrame, features: Sequence[str], contamination: float) -> DataFrame:
-    """Score of every row, shifted so the most anomalous share lies below zero."""
+def anomaly_scores(vectors: DataFrame, features: Sequence[str], overrides: Overrides | None = None) -> DataFrame:
+    """Score of every row, shifted so the most anomalous share lies below zero.
+
+    The share is the entity's ``contamination``.  All configured shares are
+    taken from one percentile aggregate and each entity picks its own.
+    """
     size = Window.partitionBy("entity_id")
     enough = vectors.withColumn("_n", F.count("*").over(size)).filter(F.col("_n") >= MINIMUM_ROWS).drop("_n")
-    raw = score_rows(enough, fit_forests(enough, features), features)
-    offset = F.percentile("raw_score", F.lit(contamination)).over(size)
-    return raw.withColumn("score", F.col("raw_score") - offset)
+    raw = score_rows(enough, fit_forests(enough, features), features).withColumn("entity_type", F.lit("facility"))
+    configured = {s["isolation_forest"]["contamination"] for s in (overrides or {}).values() if "contamination" in s.get("isolation_forest", {})}
+    shares = F.array(*[F.lit(float(v)) for v in sorted({fv.DEFAULT_THRESHOLDS["isolation_forest"]["contamination"], *configured})])
+    own = F.array_position(shares, F.col("isolation_forest_contamination")).cast("int")
+    cut = F.element_at(F.percentile("raw_score", shares).over(size), own)
+    return (
+        with_thresholds(raw, overrides)
+        .withColumn("score", F.col("raw_score") - cut)
+        .select(*ENTITY, "event_date", "raw_score", "score", "isolation_forest_p1_score", "isolation_forest_p2_score")
+    )
 
 
-def last_row_scores(
-    vectors: DataFrame, features: Sequence[str], contamination: float = 0.03, overrides: Overrides | None = None
-) -> DataFrame:
+def last_row_scores(vectors: DataFrame, features: Sequence[str], overrides: Overrides | None = None) -> DataFrame:
     """Score of every entity's last row, with a severity where it is isolated."""
-    scores = anomaly_scores(vectors, features, contamination)
-    last = scores.groupBy("entity_id").agg(F.max_by("score", "event_date").alias("score")).withColumn("entity_type", F.lit("facility"))
-    severity = severity_below(F.col("score"), F.col("isolation_forest_p1_score"), F.col("isolation_forest_p2_score"))
-    return with_thresholds(last, overrides).select(*ENTITY, "score", severity.alias("severity"))
+    values = ["score", "isolation_forest_p1_score", "isolation_forest_p2_score"]
+    last = anomaly_scores(vectors, features, overrides).groupBy(*ENTITY).agg(
+        F.max_by(F.struct(*values), "event_date").alias("_row")
+    )
+    severity = severity_below(*[F.col(f"_row.{v}") for v in values])
+    return last.select(*ENTITY, F.col("_row.score").alias("score"), severity.alias("severity"))
 
 
-def isolation_forest(
-    vectors: DataFrame, features: Sequence[str], contamination: float = 0.03, overrides: Overrides | None = None
-) -> DataFrame:
+def isolation_forest(vectors: DataFrame, features: Sequence[str], overrides: Overrides | None = None) -> DataFrame:
     """Findings for entities whose last row is isolated; ``vectors`` carry ``entity_id``."""
     nothing = F.lit(None).cast("double")
-    return last_row_scores(vectors, features, contamination, overrides).filter("severity is not null").select(
+    return last_row_scores(vectors, features, overrides).filter("severity is not null").select(
         *ENTITY,
         F.lit("multivariate").alias("metric"),
         F.lit("isolation_forest").alias("detector"),

@@ -31,9 +31,12 @@ def load() -> None:
     """Import every module that registers queries."""
     from ledgerwind.plans import (  # noqa: F401
         queries_alerts,
+        queries_audit,
         queries_features,
         queries_forecast,
         queries_ingest,
+        queries_reports,
+        queries_store,
         queries_text,
     )
 

@@ -85,12 +85,13 @@ def stored_vectors(lake: Lake) -> DataFrame:
 
 @register("isolation_forest_findings")
 def _forest(lake: Lake) -> DataFrame:
-    return rounded(last_row_scores(stored_vectors(lake), VECTOR, overrides=OVERRIDES), {"score": 6})
+    return rounded(last_row_scores(stored_vectors(lake), VECTOR, OVERRIDES), {"score": 6})
 
 
 @register("isolation_forest_scores")
 def _forest_scores(lake: Lake) -> DataFrame:
-    return rounded(anomaly_scores(stored_vectors(lake), VECTOR, 0.03), {"raw_score": 6, "score": 6})
+    scores = anomaly_scores(stored_vectors(lake), VECTOR, OVERRIDES).select("entity_id", "event_date", "raw_score", "score")
+    return rounded(scores, {"raw_score": 6, "score": 6})
 
 
 @register("driver_narrative", "SELECT entity_type, entity_id, driver_narrative FROM driver_v")
@@ -110,7 +111,7 @@ def alerts(lake: Lake, with_forest: bool = False) -> DataFrame:
     series = stored_series(lake)
     found = findings(lake, series)
     if with_forest:
-        found = found.unionByName(isolation_forest(stored_vectors(lake), VECTOR, overrides=OVERRIDES))
+        found = found.unionByName(isolation_forest(stored_vectors(lake), VECTOR, OVERRIDES))
     return al.alert_rows(
         al.combine(found), qf.settlement_features(lake), qf.lop_features(lake), qc.run_date(lake).cast("timestamp")
     )
