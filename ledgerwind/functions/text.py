@@ -51,9 +51,23 @@ def spaced(text: Column) -> Column:
     return F.replace(text, F.lit("_"), F.lit(" "))
 
 
+def settled(value: Column) -> Column:
+    """The value without the last digits that depend on summation order.
+
+    Text must not change with the partitioning, and a sum that lands on a half
+    would otherwise round either way.
+    """
+    return F.round(value, 4)
+
+
 def whole(value: Column) -> Column:
     """``1,234`` — half to even."""
-    return F.format_number(value, 0)
+    return F.format_number(settled(value), 0)
+
+
+def whole_plain(value: Column) -> Column:
+    """``1234`` — half to even, no separators."""
+    return F.replace(whole(value), F.lit(","), F.lit(""))
 
 
 def dollars(value: Column) -> Column:
@@ -61,7 +75,7 @@ def dollars(value: Column) -> Column:
 
 
 def percent(value: Column, places: int = 1, signed: bool = False) -> Column:
-    body = F.concat(F.format_number(value * 100, places), F.lit("%"))
+    body = F.concat(F.replace(F.format_number(settled(value * 100), places), F.lit(","), F.lit("")), F.lit("%"))
     return F.when(value >= 0, F.concat(F.lit("+"), body)).otherwise(body) if signed else body
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwind import fixed_values as fv
 from ledgerwind.functions import phi
-from ledgerwind.functions.text import dollars, percent, title_case, whole
+from ledgerwind.functions.text import dollars, percent, title_case, whole_plain
 from ledgerwind.operators.detect import DETECTOR_ORDER
 from ledgerwind.operators.forecast import ENTITY
 
@@ -63,7 +63,7 @@ def velocity_signal(settlement_features: DataFrame) -> DataFrame:
 def turnaround_signals(lop_features: DataFrame) -> DataFrame:
     latest = latest_per_key(lop_features.select("facility_id", "event_date", "lop_turnaround_days_p50"), ["facility_id"], "event_date")
     p50 = F.col("lop_turnaround_days_p50")
-    text = F.concat(F.lit("LOP turnaround elevated at "), whole(p50), F.lit(" days median"))
+    text = F.concat(F.lit("LOP turnaround elevated at "), whole_plain(p50), F.lit(" days median"))
     return latest.filter(p50 > fv.TURNAROUND_SIGNAL_ABOVE_DAYS).select(
         F.col("facility_id").alias("entity_id"), F.struct((-p50).alias("value"), text.alias("text")).alias("_turnaround")
     )

@@ -36,6 +36,7 @@ def load() -> None:
         queries_forecast,
         queries_ingest,
         queries_reports,
+        queries_retrieval,
         queries_store,
         queries_text,
     )

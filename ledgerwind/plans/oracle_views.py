@@ -465,11 +465,11 @@ def title_sql(text: str) -> str:
 
 
 def whole_sql(value: str) -> str:
-    return f"format('{{:,}}', CAST(printf('%.0f', {value}) AS BIGINT))"
+    return f"format('{{:,}}', CAST(printf('%.0f', round({value}, 4)) AS BIGINT))"
 
 
 view("velocity_latest_v", f"""
-SELECT settlement_velocity_change_30d AS v, 'settlement velocity down ' || printf('%.0f', abs(settlement_velocity_change_30d) * 100) || '% (Attorney ' ||
+SELECT settlement_velocity_change_30d AS v, 'settlement velocity down ' || printf('%.0f', round(abs(settlement_velocity_change_30d) * 100, 4)) || '% (Attorney ' ||
        {title_sql('attorney_id')} || ')' AS text
 FROM settlement_features_v f
 WHERE event_date = (SELECT max(event_date) FROM settlement_features_v g WHERE g.attorney_id = f.attorney_id AND g.case_type = f.case_type)
@@ -477,7 +477,7 @@ WHERE event_date = (SELECT max(event_date) FROM settlement_features_v g WHERE g.
 """)
 
 view("turnaround_latest_v", f"""
-SELECT facility_id AS entity_id, -lop_turnaround_days_p50 AS v, 'LOP turnaround elevated at ' || {whole_sql('lop_turnaround_days_p50')} || ' days median' AS text
+SELECT facility_id AS entity_id, -lop_turnaround_days_p50 AS v, 'LOP turnaround elevated at ' || printf('%.0f', round(lop_turnaround_days_p50, 4)) || ' days median' AS text
 FROM lop_features_v f WHERE event_date = (SELECT max(event_date) FROM lop_features_v g WHERE g.facility_id = f.facility_id)
   AND lop_turnaround_days_p50 > 45
 """)
@@ -488,3 +488,80 @@ SELECT entity_type, entity_id, coalesce('Likely driver: ' || (
          ORDER BY v, text LIMIT 1) || '.', 'No single dominant driver identified in current feature signals.') AS driver_narrative
 FROM entities_v e
 """)
+
+
+view("corpus_alerts_v", """
+SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY alert_id) AS copy
+FROM (SELECT * FROM alerts_v ORDER BY created_at DESC, alert_id LIMIT 100)
+""")
+
+view("corpus_v", f"""
+SELECT 'facility_collections_' || facility_id || '_' || strftime(event_date, '%Y-%m-%d') AS source_doc_id, 'facility' AS entity_type, facility_id AS entity_id, event_date AS date,
+       'Facility ' || {title_sql("replace(facility_id, '_', ' ')")} || ' collections summary as of ' || strftime(event_date, '%Y-%m-%d') || ': latest day $' || {whole_sql('collections_1d')}
+       || ', 7-day rolling $' || {whole_sql('collections_7d_rolling')} || ', 30-day rolling $' || {whole_sql('collections_30d_rolling')}
+       || '. Month-over-month growth ' || printf('%.1f', round(coalesce(collections_mom_growth, 0) * 100, 4)) || '%.' AS text, 'facility_collections' AS feature_group
+FROM facility_features_v f WHERE event_date = (SELECT max(event_date) FROM facility_features_v g WHERE g.facility_id = f.facility_id)
+UNION ALL
+SELECT 'attorney_aging_' || attorney_id || '_' || strftime(event_date, '%Y-%m-%d'), 'attorney', attorney_id, event_date,
+       'Attorney ' || {title_sql('attorney_id')} || ' aging report as of ' || strftime(event_date, '%Y-%m-%d') || ': total outstanding $' || {whole_sql('total_outstanding')}
+       || '; 180+ day bucket $' || {whole_sql('bucket_180_plus_balance')} || ' (' || printf('%.1f', round(pct_180_plus * 100, 4)) || '% of total); average days outstanding '
+       || printf('%.0f', round(avg_days_outstanding, 4)) || '.', 'attorney_aging'
+FROM attorney_features_v f WHERE event_date = (SELECT max(event_date) FROM attorney_features_v g WHERE g.attorney_id = f.attorney_id)
+UNION ALL
+SELECT 'forecast_' || entity_type || '_' || entity_id || '_' || strftime(run_d, '%Y-%m-%d'), entity_type, entity_id, run_d,
+       '30-day collections forecast for ' || entity_type || ' ' || entity_id || ' generated ' || strftime(run_d, '%Y-%m-%d') || ': predicted $' || {whole_sql('predicted')}
+       || ' (80% CI $' || {whole_sql('ci_lower')} || '–$' || {whole_sql('ci_upper')} || ').', 'forecast'
+FROM bands_v, (SELECT max(collection_date) + 1 AS run_d FROM collections_v) WHERE fold = -1 AND horizon_days = 30
+UNION ALL
+SELECT 'alert_' || entity_id || '_' || strftime(created_at, '%Y-%m-%d') || CASE WHEN copy > 1 THEN '_' || copy ELSE '' END, entity_type, entity_id, CAST(created_at AS DATE),
+       'Anomaly alert [' || severity || '] for ' || entity_id || ' on ' || strftime(created_at, '%Y-%m-%d') || ': metric ' || metric || ', expected $'
+       || {whole_sql('coalesce(expected, 0)')} || ', actual $' || {whole_sql('coalesce(actual, 0)')} || '. ' || driver_narrative, 'alert'
+FROM corpus_alerts_v
+""")
+
+view("doc_words_v", r"""
+SELECT source_doc_id, CAST('0x' || right(md5(w), 2) AS INTEGER) AS bucket, CAST(count(*) AS DOUBLE) AS n
+FROM (SELECT source_doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+')) AS w FROM corpus_v) WHERE w <> '' GROUP BY ALL
+""")
+view("question_words_v", r"""
+SELECT question_id, CAST('0x' || right(md5(w), 2) AS INTEGER) AS bucket, CAST(count(*) AS DOUBLE) AS n
+FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question), '[ \t\n\r\f\x0B]+')) AS w FROM questions_v) WHERE w <> '' GROUP BY ALL
+""")
+view("doc_norm_v", "SELECT source_doc_id, sqrt(sum(n * n)) AS norm FROM doc_words_v GROUP BY ALL")
+view("question_norm_v", "SELECT question_id, sqrt(sum(n * n)) AS norm FROM question_words_v GROUP BY ALL")
+
+view("question_entity_v", f"""
+SELECT question_id, arg_max(entity_id, (len(ne), entity_id)) AS entity_id
+FROM (SELECT question_id, {normal_sql('question')} AS nq FROM questions_v),
+     (SELECT DISTINCT entity_id, {normal_sql('entity_id')} AS ne FROM corpus_v)
+WHERE contains(nq, ne) GROUP BY question_id
+""")
+
+view("screened_v", f"""
+SELECT q.question_id, question, {scan_sql('question')} AS label, e.entity_id,
+       list_has_any(string_split({normal_sql('question')}, ' '), {literal_list(fv.DOMAIN_TERMS)}) AS relevant
+FROM questions_v q LEFT JOIN question_entity_v e USING (question_id)
+""")
+
+view("hits_v", """
+SELECT * FROM (
+  SELECT c.question_id, c.source_doc_id, c.score, row_number() OVER (PARTITION BY c.question_id ORDER BY c.score DESC, c.source_doc_id) AS rank
+  FROM (SELECT p.question_id, p.source_doc_id, round(coalesce(s.dot, 0) / (1 + 1e-9), 9) AS score
+        FROM (SELECT question_id, d.source_doc_id FROM screened_v q JOIN corpus_v d ON q.entity_id IS NULL OR d.entity_id = q.entity_id
+              WHERE label IS NULL AND (q.entity_id IS NOT NULL OR relevant)) p
+        LEFT JOIN (SELECT q.question_id, d.source_doc_id, sum(q.n * d.n) / (any_value(qn.norm) * any_value(dn.norm)) AS dot
+                   FROM question_words_v q JOIN doc_words_v d USING (bucket)
+                   JOIN question_norm_v qn ON qn.question_id = q.question_id JOIN doc_norm_v dn ON dn.source_doc_id = d.source_doc_id
+                   GROUP BY q.question_id, d.source_doc_id) s USING (question_id, source_doc_id)) c)
+WHERE rank <= 8
+""")
+
+view("gated_v", """
+SELECT q.question_id, q.question, q.entity_id AS entity_filter, coalesce(h.score, 0) AS top_score, h.source_doc_id AS top_doc,
+       CASE WHEN label IS NOT NULL THEN 'input_phi_blocked'
+            WHEN q.entity_id IS NULL AND NOT relevant THEN 'outside_financial_domain'
+            WHEN h.question_id IS NULL THEN 'no_hits'
+            WHEN h.score < 0.15 AND q.entity_id IS NULL THEN 'below_similarity_threshold'
+            WHEN q.entity_id IS NOT NULL THEN 'entity_filter_match' ELSE 'threshold_passed' END AS reason
+FROM screened_v q LEFT JOIN hits_v h ON h.question_id = q.question_id AND h.rank = 1
+""")

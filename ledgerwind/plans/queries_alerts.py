@@ -149,7 +149,7 @@ def _summary(lake: Lake) -> DataFrame:
     f"""SELECT alert_id, ':warning: [' || CASE severity WHEN 'P1' THEN 'P1 Critical' ELSE 'P2 Warning' END || '] ' || entity_id || ' — Anomaly Detected' || chr(10)
               || 'Metric: ' || metric || ' | Detector: ' || detector || chr(10)
               || coalesce('Expected: $' || {whole_sql('expected')} || ' | Actual: $' || {whole_sql('actual')}
-                          || coalesce(' | Δ: ' || CASE WHEN deviation_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', deviation_pct * 100) || '%', '')
+                          || coalesce(' | Δ: ' || CASE WHEN deviation_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', round(deviation_pct * 100, 4)) || '%', '')
                           || chr(10), '')
               || driver_narrative || chr(10) || '→ Dashboard: ' || dashboard_link AS message FROM alerts_v""",
 )
