@@ -145,19 +145,26 @@ def visit_velocity(visits: DataFrame) -> DataFrame:
     )
 
 
-def settlement_dates(settlements: DataFrame) -> tuple[Column, Column]:
-    """First grid date and as-of date, as lazy one-value subqueries."""
-    span = settlements.agg(
-        F.min("open_date").alias("first"), F.greatest(F.max("open_date"), F.max("close_date")).alias("last")
-    )
+def span_of(frame: DataFrame, earliest: Column, latest: Column, measures: list[str]) -> tuple[Column, Column]:
+    """First and last date of an aggregated frame, as lazy one-value subqueries.
+
+    The dates are taken under a condition on every measure.  It always holds,
+    but it keeps the measures in the subquery, which then reads the shuffle
+    files of the frame itself instead of scanning the facts again.
+    """
+    present = F.lit(True)
+    for m in measures:
+        present = present & (F.abs(m) >= 0)
+    span = frame.agg(F.min(F.when(present, earliest)).alias("first"), F.max(F.when(present, latest)).alias("last"))
     return span.select("first").scalar(), span.select("last").scalar()
 
 
-def settlement_pipeline(settlements: DataFrame, first: Column, last: Column) -> DataFrame:
+def settlement_pipeline(settlements: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Open counts, closings, days to close and velocity on a weekly grid.
 
     An opening adds one and a closing takes one away, so the number open on any
-    date is a running sum of daily deltas.
+    date is a running sum of daily deltas.  The grid runs from the first opening
+    to ``as_of``, by default the last opening or closing.
     """
     keys = ["attorney_id", "case_type"]
     large = (F.col("settlement_amount") > fv.HIGH_VALUE_SETTLEMENT).cast("bigint")
@@ -177,7 +184,8 @@ def settlement_pipeline(settlements: DataFrame, first: Column, last: Column) ->
     ).filter("day is not null")
     measures = ["open_delta", "large_delta", "closed", "close_days"]
     daily = changes.groupBy(*keys, "day").agg(*[F.sum(m).alias(m) for m in measures])
-    points = on_weekly_grid(daily, keys, "day", first, last, measures)
+    first, last = span_of(daily, F.col("day"), F.col("day"), measures)
+    points = on_weekly_grid(daily, keys, "day", first, last if as_of is None else as_of, measures)
     closed_in = lambda oldest, newest=0: F.coalesce(
         trailing(F.sum("closed"), keys, "day", oldest, newest), F.lit(0)
     )
@@ -205,13 +213,6 @@ def settlement_pipeline(settlements: DataFrame, first: Column, last: Column) ->
     )
 
 
-def lop_dates(letters: DataFrame) -> tuple[Column, Column]:
-    span = letters.agg(
-        F.min("issued_date").alias("first"), F.greatest(F.max("issued_date"), F.max("returned_date")).alias("last")
-    )
-    return span.select("first").scalar(), span.select("last").scalar()
-
-
 def lop_histogram(letters: DataFrame) -> DataFrame:
     """Letters counted by facility, issue date, return date and rejection.
 
@@ -223,6 +224,11 @@ def lop_histogram(letters: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+def lop_dates(histogram: DataFrame) -> tuple[Column, Column]:
+    """First issue date and the last issue or return date."""
+    return span_of(histogram, F.col("issued_date"), F.greatest("issued_date", "returned_date"), ["n"])
+
+
 def lop_turnaround(histogram: DataFrame, first: Column, last: Column) -> DataFrame:
     """Exact p50/p90 of turnaround over the trailing 30 days at each grid date.
 
@@ -311,8 +317,10 @@ def lop_counts(histogram: DataFrame, first: Column, last: Column) -> DataFrame:
     )
 
 
-def lop_metrics(letters: DataFrame, first: Column, last: Column) -> DataFrame:
+def lop_metrics(letters: DataFrame, as_of: Column | None = None) -> DataFrame:
     histogram = lop_histogram(letters)
+    first, last = lop_dates(histogram)
+    last = last if as_of is None else as_of
     counts = lop_counts(histogram, first, last)
     turnaround = lop_turnaround(histogram, first, last)
     return counts.join(turnaround, ["facility_id", "event_date"], "left").select(

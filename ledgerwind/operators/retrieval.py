@@ -22,8 +22,10 @@ from ledgerwind.functions.text import (
     whole_plain,
 )
 from ledgerwind.operators.alerts import list_alerts
+from ledgerwind.session import materialise
 
-BLOCK_ROWS = 2048
+SMALL_ROWS = 10_000
+BLOCK_ROWS = 8192
 DICTIONARY_NAMES = 1000
 INSUFFICIENT = "I don't have enough information to answer this reliably. Please check with the DA team."
 BLOCKED = (
@@ -168,74 +170,91 @@ def match_entities(questions: DataFrame, entities: DataFrame, dictionary_limit:
 
 
 _HIT = "question_id string, doc_id string, score double"
-
-
-def _top(k: int):
-    """Exact top ``k`` of one question block against one document block."""
-
-    def rank(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
-        held = held.sort_values("doc_id")
-        q = np.vstack(asked.vector.to_numpy()).astype(float)
-        d = np.vstack(held.vector.to_numpy()).astype(float)
-        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]
-        # rounded so that equal texts tie exactly and the id decides
-        scores = np.round((q @ d.T) / (lengths + 1e-9), 9)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "question_id": np.repeat(asked.question_id.to_numpy(), best.shape[1]),
-                "doc_id": held.doc_id.to_numpy()[best.ravel()],
-                "score": np.take_along_axis(scores, best, axis=1).ravel(),
-            }
-        )
-
-    return rank
+_ROWS_AT_ONCE = 256
+
+
+def _best(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Exact top ``k`` of every question over the documents at hand."""
+    parts = []
+    held = held.sort_values("doc_id", kind="stable")
+    for entity, group in asked.groupby("entity_filter", dropna=False):
+        mine = held if pd.isna(entity) else held[held.entity_id == entity]
+        if mine.empty:
+            continue
+        d = np.vstack(mine.vector.to_numpy()).astype(float)
+        d_length = np.linalg.norm(d, axis=1)
+        ids = mine.doc_id.to_numpy()
+        for start in range(0, len(group), _ROWS_AT_ONCE):
+            some = group.iloc[start : start + _ROWS_AT_ONCE]
+            q = np.vstack(some.vector.to_numpy()).astype(float)
+            lengths = np.linalg.norm(q, axis=1)[:, None] * d_length[None, :]
+            # rounded so that equal texts tie exactly and the id decides
+            scores = np.round((q @ d.T) / (lengths + 1e-9), 9)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "question_id": np.repeat(some.question_id.to_numpy(), best.shape[1]),
+                        "doc_id": ids[best.ravel()],
+                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
+                    }
+                )
+            )
+    return pd.concat(parts) if parts else pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
+
+
+def _fits(rows: DataFrame, limit: int) -> bool:
+    return rows.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
 def search(
-    questions: DataFrame, documents: DataFrame, k: int = fv.TOP_K, fall_back: bool = True, block_rows: int = BLOCK_ROWS
+    questions: DataFrame,
+    documents: DataFrame,
+    k: int = fv.TOP_K,
+    fall_back: bool = True,
+    small_rows: int = SMALL_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact cosine top ``k`` per question: ``(question_id, doc_id, score, rank)``.
 
     ``questions`` carry ``question_id``, ``vector`` and ``entity_filter`` (null
     for all documents); ``documents`` carry ``doc_id``, ``vector`` and
-    ``entity_id``.  Both sides are cut into blocks of bounded size; each pair of
-    blocks is one matrix product that keeps only its ``k`` best per question, so
-    no pair of rows is ever shuffled.  With ``fall_back`` a filter that no
-    document satisfies is ignored.
+    ``entity_id``.  A side counted to be at most ``small_rows`` travels to the
+    other side's tasks, which then needs no shuffle.  When both are larger, they
+    are cut into blocks of bounded size and each pair of blocks is one matrix
+    product that keeps its ``k`` best per question.  With ``fall_back`` a filter
+    that no document satisfies is ignored.
     """
-    block_count = lambda rows: rows.agg(F.ceil(F.count("*") / block_rows).cast("int")).scalar()
-    keyed = questions.select(F.col("question_id").cast("string").alias("question_id"), "vector", "entity_filter")
+    asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "vector", "entity_filter")
     held = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "vector", "entity_id")
     if fall_back:
         present = held.select(F.col("entity_id").alias("entity_filter"), F.lit(True).alias("_known")).distinct()
-        keyed = keyed.join(present, "entity_filter", "left").withColumn(
-            "entity_filter", F.when(F.col("_known"), F.col("entity_filter"))
-        ).drop("_known")
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.greatest(n, F.lit(1)).cast("bigint")).cast("int")
-    n_questions, n_documents = block_count(questions), block_count(documents)
-    scope = F.coalesce(F.concat(F.lit("="), "entity_filter"), F.lit("*"))
-    scopes = F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), "entity_id")))
-    asked_blocks = keyed.select(
-        "question_id", "vector", scope.alias("scope"), own("question_id", n_questions).alias("qb"), blocks(n_documents).alias("db")
-    )
-    wanted = asked_blocks.select("scope").distinct()
-    held_blocks = (
-        held.select("doc_id", "vector", F.explode(scopes).alias("scope"), own("doc_id", n_documents).alias("db"))
-        .join(wanted, "scope", "left_semi")
-        .select("*", blocks(n_questions).alias("qb"))
-    )
-    cells = ["scope", "qb", "db"]
-    partial = asked_blocks.groupBy(*cells).cogroup(held_blocks.groupBy(*cells)).applyInPandas(
-        lambda a, h: _top(k)(a, h), _HIT
-    )
+        known = asked.join(present, "entity_filter", "left")
+        asked = known.select("question_id", "vector", F.when(F.col("_known"), F.col("entity_filter")).alias("entity_filter"))
+    context = questions.sparkSession.sparkContext
+    if _fits(held, small_rows):
+        few = context.broadcast(held.toPandas())
+        partial = asked.mapInPandas(lambda batches: (_best(b, few.value, k) for b in batches), _HIT)
+    elif _fits(asked, small_rows):
+        few = context.broadcast(asked.toPandas())
+        partial = held.mapInPandas(lambda batches: (_best(few.value, b, k) for b in batches), _HIT)
+    else:
+        partial = _search_blocks(asked, held, k, block_rows)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _search_blocks(asked: DataFrame, held: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Every question block against every document block, by an equi-join on block numbers."""
+    count = lambda rows: F.greatest(rows.agg(F.ceil(F.count("*") / block_rows).cast("int")).scalar(), F.lit(1))
+    n_asked, n_held = count(asked), count(held)
+    own = lambda key, n: F.pmod(F.xxhash64(key), n.cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asked.select("*", own("question_id", n_asked).alias("qb"), every(n_held).alias("db"))
+    right = held.select("*", own("doc_id", n_held).alias("db"), every(n_asked).alias("qb"))
+    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(lambda a, h: _best(a, h, k), _HIT)
+
+
 def screen(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """Questions with what the gate needs before any retrieval."""
     matched = match_entities(questions, entities)
@@ -257,6 +276,7 @@ def retrieve(screened: DataFrame, index: DataFrame, k: int = fv.TOP_K) -> DataFr
     keyed = texts.withColumn("question_key", F.sha2("question", 256))
     vectors = embed_text(keyed, "question_key", "question")
     asked = keyed.join(vectors, "question_key").select(F.col("question_key").alias("question_id"), "vector", "entity_filter")
+    asked = materialise(asked, "question-vectors")
     documents = index.select(F.col("source_doc_id").alias("doc_id"), "vector", "entity_id")
     hits = search(asked, documents, k).withColumnRenamed("question_id", "question_key")
     return (

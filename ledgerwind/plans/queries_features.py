@@ -151,8 +151,7 @@ def _aging_snapshots(lake: Lake) -> DataFrame:
 
 def settlement_features(lake: Lake) -> DataFrame:
     rows = business.settlements(lake, "attorney_id", "case_type", "open_date", "close_date", "settlement_amount")
-    first, last = ft.settlement_dates(business.settlements(lake, "open_date", "close_date"))
-    return ft.settlement_pipeline(rows, first, last)
+    return ft.settlement_pipeline(rows)
 
 
 @register(
@@ -170,8 +169,7 @@ LETTER_COLUMNS = ("facility_id", "issued_date", "returned_date", "status")
 
 
 def lop_features(lake: Lake) -> DataFrame:
-    first, last = ft.lop_dates(business.letters(lake, "issued_date", "returned_date"))
-    return ft.lop_metrics(business.letters(lake, *LETTER_COLUMNS), first, last)
+    return ft.lop_metrics(business.letters(lake, *LETTER_COLUMNS))
 
 
 @register(
@@ -195,8 +193,8 @@ def _lop(lake: Lake) -> DataFrame:
        FROM lop_features_v WHERE lop_turnaround_days_p50 IS NOT NULL""",
 )
 def _lop_turnaround(lake: Lake) -> DataFrame:
-    first, last = ft.lop_dates(business.letters(lake, "issued_date", "returned_date"))
     histogram = ft.lop_histogram(business.letters(lake, *LETTER_COLUMNS))
+    first, last = ft.lop_dates(histogram)
     return rounded(
         ft.lop_turnaround(histogram, first, last), {"lop_turnaround_days_p50": 4, "lop_turnaround_days_p90": 4}
     )
@@ -204,6 +202,6 @@ def _lop_turnaround(lake: Lake) -> DataFrame:
 
 @register("lop_backlog", "SELECT facility_id, event_date, lop_backlog_count FROM lop_features_v")
 def _lop_backlog(lake: Lake) -> DataFrame:
-    first, last = ft.lop_dates(business.letters(lake, "issued_date", "returned_date"))
     histogram = ft.lop_histogram(business.letters(lake, *LETTER_COLUMNS))
+    first, last = ft.lop_dates(histogram)
     return ft.lop_counts(histogram, first, last).select("facility_id", "event_date", "lop_backlog_count")

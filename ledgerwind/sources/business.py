@@ -26,25 +26,35 @@ def geography(lake: Lake) -> DataFrame:
     )
 
 
-def _supplier_geography(lake: Lake) -> DataFrame:
+def _with_supplier(rows: DataFrame, lake: Lake) -> DataFrame:
+    """Add the supplier's region and nation.
+
+    Dimensions are joined one after another, so Spark judges each by its own
+    file size instead of by an estimate for a joined pair.
+    """
+    supplier = lake.table("supplier").select("s_suppkey", "s_nationkey")
     geo = geography(lake)
-    supplier = lake.table("supplier")
-    return supplier.join(geo, supplier.s_nationkey == geo.n_nationkey, "left").select(
-        "s_suppkey", F.col("r_name").alias("facility_id"), F.col("n_name").alias("attorney_id")
+    placed = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey, "left")
+    return placed.join(geo, placed.s_nationkey == geo.n_nationkey, "left").withColumns(
+        {"facility_id": F.col("r_name"), "attorney_id": F.col("n_name")}
     )
 
 
-def _customer_geography(lake: Lake) -> DataFrame:
+def _with_customer(rows: DataFrame, lake: Lake) -> DataFrame:
+    """Add the customer's segment, nation and region."""
+    customer = lake.table("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("case_type"))
     geo = geography(lake)
-    customer = lake.table("customer")
-    return customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left").select(
-        "c_custkey",
-        F.col("c_mktsegment").alias("case_type"),
-        F.col("n_name").alias("attorney_id"),
-        F.col("r_name").alias("facility_id"),
+    placed = rows.join(customer, rows.o_custkey == customer.c_custkey, "left")
+    return placed.join(geo, placed.c_nationkey == geo.n_nationkey, "left").withColumns(
+        {"facility_id": F.col("r_name"), "attorney_id": F.col("n_name")}
     )
 
 
+def _with_segment(rows: DataFrame, lake: Lake) -> DataFrame:
+    customer = lake.table("customer").select("c_custkey", F.col("c_mktsegment").alias("case_type"))
+    return rows.join(customer, rows.o_custkey == customer.c_custkey, "left")
+
+
 def _order_id() -> Column:
     return F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"))
 
@@ -63,16 +73,14 @@ def collections(lake: Lake, *columns: str) -> DataFrame:
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount_collected"),
     )
     if {"facility_id", "attorney_id"} & set(wanted):
-        geo = _supplier_geography(lake)
-        rows = rows.join(geo, rows.l_suppkey == geo.s_suppkey, "left")
+        rows = _with_supplier(rows, lake)
     if {"case_type", "days_outstanding"} & set(wanted):
         orders = lake.table("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("ordered"))
         rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey, "left").withColumn(
             "days_outstanding", F.datediff("collection_date", "ordered")
         )
     if "case_type" in wanted:
-        customer = lake.table("customer").select("c_custkey", F.col("c_mktsegment").alias("case_type"))
-        rows = rows.join(customer, rows.o_custkey == customer.c_custkey, "left")
+        rows = _with_segment(rows, lake)
     return rows.select(*wanted)
 
 
@@ -93,8 +101,7 @@ def visits(lake: Lake, *columns: str) -> DataFrame:
         F.col("o_orderpriority").alias("provider_id"),
     )
     if {"facility_id", "case_type"} & set(wanted):
-        geo = _customer_geography(lake)
-        rows = rows.join(geo, rows.o_custkey == geo.c_custkey, "left")
+        rows = _with_customer(rows, lake)
     return rows.select(*wanted)
 
 
@@ -120,8 +127,7 @@ def settlements(lake: Lake, *columns: str) -> DataFrame:
             .withColumn("settlement_status", F.when(F.col("close_date").isNull(), "open").otherwise("closed"))
         )
     if {"attorney_id", "case_type"} & set(wanted):
-        geo = _customer_geography(lake).drop("facility_id")
-        rows = rows.join(geo, rows.o_custkey == geo.c_custkey, "left")
+        rows = _with_customer(rows, lake)
     return rows.withColumn("settlement_id", F.col("o_orderkey")).select(*wanted)
 
 
@@ -148,11 +154,9 @@ def letters(lake: Lake, *columns: str) -> DataFrame:
         .withColumn("rejection_reason", F.when(F.col("status") == "rejected", F.col("l_linestatus")))
     )
     if "facility_id" in wanted:
-        geo = _supplier_geography(lake).drop("attorney_id")
-        rows = rows.join(geo, rows.l_suppkey == geo.s_suppkey, "left")
+        rows = _with_supplier(rows, lake)
     if "case_type" in wanted:
-        customer = lake.table("customer").select("c_custkey", F.col("c_mktsegment").alias("case_type"))
-        rows = rows.join(customer, rows.o_custkey == customer.c_custkey, "left")
+        rows = _with_segment(rows, lake)
     return rows.select(*wanted)
 
 
@@ -162,6 +166,7 @@ def aging(lake: Lake) -> DataFrame:
     Orders are reduced to one row per attorney and day first; the buckets are
     then framed sums over that daily frame, so no snapshot is joined to orders.
     """
+    from ledgerwind.operators.features import span_of
     from ledgerwind.operators.timeseries import on_weekly_grid, trailing
 
     status = F.col("o_orderstatus")
@@ -170,15 +175,10 @@ def aging(lake: Lake) -> DataFrame:
         F.to_date("o_orderdate").alias("day"),
         F.when(status == "F", 0.0).otherwise(F.col("o_totalprice")).alias("balance"),
     )
-    geo = _customer_geography(lake).drop("case_type")
     keys = ["attorney_id", "facility_id"]
-    daily = (
-        orders.join(geo, orders.o_custkey == geo.c_custkey, "left").groupBy(*keys, "day").agg(F.sum("balance").alias("balance"))
-    )
-    span = lake.table("orders").agg(
-        F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last")
-    )
-    points = on_weekly_grid(daily, keys, "day", span.select("first").scalar(), span.select("last").scalar(), ["balance"])
+    daily = _with_customer(orders, lake).groupBy(*keys, "day").agg(F.sum("balance").alias("balance"))
+    first, last = span_of(daily, F.col("day"), F.col("day"), ["balance"])
+    points = on_weekly_grid(daily, keys, "day", first, last, ["balance"])
     spans = {
         "bucket_0_30": (30, 0), "bucket_31_60": (60, 31), "bucket_61_90": (90, 61),
         "bucket_91_180": (180, 91), "bucket_180_plus": (None, 181),
