@@ -91,7 +91,9 @@ def hash_embedding(frame: DataFrame, key: str, text: str) -> DataFrame:
     Counting is map-side first, so at most 256 rows per text are shuffled
     however long the text is, and one text never has to fit in one row.
     """
-    bucket = F.conv(F.right(F.md5("word"), F.lit(2)), 16, 10).cast("int")
+    digest = F.md5("word")
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
+    bucket = digit(31) * 16 + digit(32)
     counts = (
         frame.select(key, F.explode(words(F.col(text))).alias("word"))
         .select(key, bucket.alias("bucket"))

@@ -7,7 +7,7 @@ hash partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwind import fixed_values as fv
@@ -18,10 +18,10 @@ from ledgerwind.operators.timeseries import (
     grid_points_covering,
     month_index,
     on_weekly_grid,
+    rolling_count,
     rolling_sum,
-    trailing,
+    trailing_count,
 )
-from pyspark.sql import Window
 
 
 def daily_collections(collections: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,10 +128,10 @@ def visit_velocity(visits: DataFrame) -> DataFrame:
     last7 = dense.select(
         *keys,
         "event_date",
-        rolling_sum("n", keys, "event_date", 7).alias("new_visits_7d"),
-        rolling_sum("n", keys, "event_date", 30).alias("new_visits_30d"),
-        rolling_sum("billed", keys, "event_date", 7).alias("_billed"),
-        rolling_sum("pending", keys, "event_date", 7).alias("_pending"),
+        rolling_count("n", keys, "event_date", 7).alias("new_visits_7d"),
+        rolling_count("n", keys, "event_date", 30).alias("new_visits_30d"),
+        rolling_count("billed", keys, "event_date", 7).alias("_billed"),
+        rolling_count("pending", keys, "event_date", 7).alias("_pending"),
     )
     rate = lambda c: F.coalesce(ratio_if_positive(F.col(c), F.col("new_visits_7d")), F.lit(0.0))
     return last7.select(
@@ -186,19 +186,17 @@ def settlement_pipeline(settlements: DataFrame, as_of: Column | None = None) ->
     daily = changes.groupBy(*keys, "day").agg(*[F.sum(m).alias(m) for m in measures])
     first, last = span_of(daily, F.col("day"), F.col("day"), measures)
     points = on_weekly_grid(daily, keys, "day", first, last if as_of is None else as_of, measures)
-    closed_in = lambda oldest, newest=0: F.coalesce(
-        trailing(F.sum("closed"), keys, "day", oldest, newest), F.lit(0)
-    )
+    within = lambda m, oldest, newest=0: trailing_count(m, keys, "day", oldest, newest)
     framed = points.select(
         *keys,
         F.col("day").alias("event_date"),
         "on_grid",
-        trailing(F.sum("open_delta"), keys, "day", None).alias("open_settlements_count"),
-        trailing(F.sum("large_delta"), keys, "day", None).alias("high_value_open_count"),
-        closed_in(29).alias("settlements_closed_30d"),
-        closed_in(59, 30).alias("_before"),
-        closed_in(89).alias("_closed90"),
-        trailing(F.sum("close_days"), keys, "day", 89).alias("_days90"),
+        within("open_delta", None).alias("open_settlements_count"),
+        within("large_delta", None).alias("high_value_open_count"),
+        within("closed", 29).alias("settlements_closed_30d"),
+        within("closed", 59, 30).alias("_before"),
+        within("closed", 89).alias("_closed90"),
+        within("close_days", 89).alias("_days90"),
     ).filter("on_grid")
     return framed.select(
         *keys,
@@ -291,7 +289,7 @@ def lop_counts(histogram: DataFrame, first: Column, last: Column) -> DataFrame:
     measures = ["issued", "returned", "rejections", "overdue"]
     daily = changes.groupBy(*keys, "day").agg(*[F.sum(m).alias(m) for m in measures])
     points = on_weekly_grid(daily, keys, "day", first, last, measures)
-    within = lambda m, oldest: F.coalesce(trailing(F.sum(m), keys, "day", oldest), F.lit(0))
+    within = lambda m, oldest: trailing_count(m, keys, "day", oldest)
     return (
         points.select(
             *keys,

@@ -69,7 +69,7 @@ def fit_forests(vectors: DataFrame, features: Sequence[str]) -> DataFrame:
     sample = spread.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE_ROWS)
     names = list(features)
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ordered = rows.sort_values("_rank")
         entity, tree = key
         seed = [int(tree), *entity.encode()]
@@ -133,7 +133,8 @@ def anomaly_scores(vectors: DataFrame, features: Sequence[str], overrides: Overr
     taken from one percentile aggregate and each entity picks its own.
     """
     size = Window.partitionBy("entity_id")
-    enough = vectors.withColumn("_n", F.count("*").over(size)).filter(F.col("_n") >= MINIMUM_ROWS).drop("_n")
+    long_enough = vectors.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") >= MINIMUM_ROWS)
+    enough = vectors.join(long_enough, "entity_id", "left_semi")
     raw = score_rows(enough, fit_forests(enough, features), features).withColumn("entity_type", F.lit("facility"))
     configured = {s["isolation_forest"]["contamination"] for s in (overrides or {}).values() if "contamination" in s.get("isolation_forest", {})}
     shares = F.array(*[F.lit(float(v)) for v in sorted({fv.DEFAULT_THRESHOLDS["isolation_forest"]["contamination"], *configured})])

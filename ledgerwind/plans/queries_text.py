@@ -79,7 +79,7 @@ def _scan(lake: Lake) -> DataFrame:
 )
 def _names(lake: Lake) -> DataFrame:
     return (
-        lake.table("documents")
+        lake.spread("documents")
         .select("doc_id", phi.person_names(F.col("text")).alias("found"))
         .select("doc_id", F.size("found").cast("bigint").alias("n_names"), F.array_join("found", "|").alias("names"))
     )
@@ -105,7 +105,7 @@ def _redact(lake: Lake) -> DataFrame:
     asked = questions(lake).filter("question_id LIKE 'c-%'").selectExpr(
         "-1 - CAST(substr(question_id, 3) AS BIGINT) AS doc_id", "question AS text"
     )
-    rows = lake.table("documents").select("doc_id", "text").unionByName(asked)
+    rows = lake.spread("documents").select("doc_id", "text").unionByName(asked)
     return phi.scan_output(rows, "text").select(
         "doc_id", "phi_detected", F.array_join("phi_matches", "|").alias("matches"), "redacted_text"
     )
@@ -154,6 +154,6 @@ def _cleanup(lake: Lake) -> DataFrame:
               WHERE word <> '' GROUP BY ALL)""",
 )
 def _embedding(lake: Lake) -> DataFrame:
-    return text.hash_embedding(lake.table("documents"), "doc_id", "text").select(
+    return text.hash_embedding(lake.spread("documents"), "doc_id", "text").select(
         "doc_id", "bucket", F.round("weight", 9).alias("weight")
     )

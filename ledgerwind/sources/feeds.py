@@ -37,8 +37,8 @@ VISIT_FEED = [
 
 
 def collection_feed(lake: Lake) -> DataFrame:
-    return lake.table("lineitem").selectExpr(*COLLECTION_FEED)
+    return lake.spread("lineitem").selectExpr(*COLLECTION_FEED)
 
 
 def visit_feed(lake: Lake) -> DataFrame:
-    return lake.table("orders").selectExpr(*VISIT_FEED)
+    return lake.spread("orders").selectExpr(*VISIT_FEED)

@@ -34,3 +34,13 @@ class Lake:
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+
+    def spread(self, name: str) -> DataFrame:
+        """The table for work that is heavy per row, such as scanning text.
+
+        A table whose files give fewer splits than there are cores is dealt out
+        evenly; a large table is left as scanned, without a shuffle.
+        """
+        rows = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
