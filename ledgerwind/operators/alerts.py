@@ -10,6 +10,7 @@ from ledgerwind.functions import phi
 from ledgerwind.functions.text import dollars, percent, title_case, whole_plain
 from ledgerwind.operators.detect import DETECTOR_ORDER
 from ledgerwind.operators.forecast import ENTITY
+from ledgerwind.session import materialise
 
 
 def rank_of(severity: Column) -> Column:
@@ -81,8 +82,12 @@ def with_driver(entities: DataFrame, settlement_features: DataFrame, lop_feature
 
 
 def alert_rows(combined: DataFrame, settlement_features: DataFrame, lop_features: DataFrame, created_at: Column) -> DataFrame:
-    """Open alerts, still including any whose text names a person (``phi_detected``)."""
-    driven = with_driver(combined, settlement_features, lop_features)
+    """Open alerts, still including any whose text names a person (``phi_detected``).
+
+    The explained findings, one row per entity, are written once before their
+    text is screened.
+    """
+    driven = materialise(with_driver(combined, settlement_features, lop_features), "narratives")
     screened = phi.scan_output(driven, "driver_narrative").drop("redacted_text")
     link = F.concat(F.lit("/dashboard/"), "entity_type", F.lit("/"), "entity_id")
     return screened.withColumns(

@@ -27,9 +27,13 @@ def stored_series(lake: Lake) -> DataFrame:
     return materialise(qc.series(lake), "series")
 
 
-def deviations(lake: Lake, series: DataFrame) -> DataFrame:
+def month_forecasts(series: DataFrame) -> DataFrame:
     models = fc.fit_seasonal_trend(series.filter("n >= 30"), fc.ENTITY)
-    return detect.forecast_deviation(series, fc.with_bands(models, F.lit(30)), OVERRIDES)
+    return fc.with_bands(models, F.lit(30))
+
+
+def deviations(lake: Lake, series: DataFrame) -> DataFrame:
+    return detect.forecast_deviation(series, month_forecasts(series), OVERRIDES)
 
 
 def findings(lake: Lake, series: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ FROM combined_v c JOIN driver_v USING (entity_type, entity_id),
 """)
 
 
-def alerts(lake: Lake, with_forest: bool = False) -> DataFrame:
-    series = stored_series(lake)
+def alerts(lake: Lake, with_forest: bool = False, series: DataFrame | None = None) -> DataFrame:
+    series = stored_series(lake) if series is None else series
     found = findings(lake, series)
     if with_forest:
         found = found.unionByName(isolation_forest(stored_vectors(lake), VECTOR, OVERRIDES))

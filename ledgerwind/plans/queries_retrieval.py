@@ -19,10 +19,11 @@ from ledgerwind.sources.tables import Lake
 
 
 def corpus(lake: Lake) -> DataFrame:
-    forecasts = fc.latest_forecast(qc.forecasts(lake), 30)
+    series = qa.stored_series(lake)
+    forecasts = fc.forecast_batch(fc.fit_seasonal_trend(series.filter("n >= 30"), fc.ENTITY), qc.run_date(lake), [30])
     facility = store.latest(qf.facility_features(lake).drop("mom_growth_to_date"), ["facility_id"])
     attorney = store.latest(qf.aging_features(lake), ["attorney_id"])
-    return rt.build_corpus(facility, attorney, forecasts, al.deliverable(qa.alerts(lake)))
+    return rt.build_corpus(facility, attorney, fc.latest_forecast(forecasts, 30), al.deliverable(qa.alerts(lake, series=series)))
 
 
 def stored_index(lake: Lake) -> DataFrame:
