@@ -35,6 +35,7 @@ def load() -> None:
         queries_features,
         queries_forecast,
         queries_ingest,
+        queries_monitor,
         queries_ratelimit,
         queries_reports,
         queries_retrieval,

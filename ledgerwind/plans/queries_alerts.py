@@ -17,8 +17,8 @@ from ledgerwind.plans.queries_ingest import OVERRIDES, entities
 from ledgerwind.session import materialise
 from ledgerwind.sources.tables import Lake
 
-PLACES = {"expected": 4, "actual": 4, "deviation_pct": 6, "score": 6}
-FINDING_SQL = """entity_type, entity_id, metric, detector, round(expected, 4) AS expected, round(actual, 4) AS actual,
+PLACES = {"expected": 6, "actual": 4, "deviation_pct": 6, "score": 6}
+FINDING_SQL = """entity_type, entity_id, metric, detector, round(expected, 6) AS expected, round(actual, 4) AS actual,
                  round(deviation_pct, 6) AS deviation_pct, round(score, 6) AS score, severity"""
 
 
@@ -47,11 +47,11 @@ def _deviation(lake: Lake) -> DataFrame:
 
 @register(
     "cusum_scores",
-    "SELECT entity_type, entity_id, round(expected, 4) AS expected, round(actual, 4) AS actual, round(score, 6) AS score FROM cusum_v",
+    "SELECT entity_type, entity_id, round(expected, 6) AS expected, round(actual, 4) AS actual, round(score, 6) AS score FROM cusum_v",
 )
 def _cusum_scores(lake: Lake) -> DataFrame:
     scored = detect.cusum_scores(qc.series(lake), OVERRIDES).select(*fc.ENTITY, "expected", "actual", "score")
-    return rounded(scored, {"expected": 4, "actual": 4, "score": 6})
+    return rounded(scored, {"expected": 6, "actual": 4, "score": 6})
 
 
 @register("cusum_findings", f"SELECT {FINDING_SQL} FROM cusum_findings_v")
