@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,4 +148,3 @@ def test_stream_ingest_runs_per_drop(spark, tmp_path):
     feed = spark.readStream.schema(VISIT).parquet(str(tmp_path / "feed"))
     ingest_stream(spark, feed, "visits", store, "key").awaitTermination(120)
     assert store.read("curated/visits").count() == 5
-    assert dt.date.today()
