@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerwind.llm.quality import QUALITY_SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op10_quality_cascade": QUALITY_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,3 +35,10 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.quality import quality_report
+
+    return quality_report(table(spark, folder, "documents"))
