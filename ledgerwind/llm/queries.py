@@ -42,3 +42,10 @@ def op10_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.quality import quality_report
 
     return quality_report(table(spark, folder, "documents"))
+
+
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.mixing import mixed_sizes
+
+    return mixed_sizes(table(spark, folder, "documents"))
