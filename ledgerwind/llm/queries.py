@@ -49,3 +49,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.mixing import mixed_sizes
 
     return mixed_sizes(table(spark, folder, "documents"))
+
+
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.sharding import shards_by_bytes
+
+    return shards_by_bytes(table(spark, folder, "documents"))
