@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwind.llm.quality import QUALITY_SQL
+from ledgerwind.llm.warc import WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op10_quality_cascade": QUALITY_SQL}
+CHECKS: dict[str, str] = {"op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,3 +57,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.sharding import shards_by_bytes
 
     return shards_by_bytes(table(spark, folder, "documents"))
+
+
+@query
+def op9_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.warc import round_trip
+
+    return round_trip(table(spark, folder, "pages"))
