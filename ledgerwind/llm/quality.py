@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
-A bounded sample of documents (``SAMPLE_ROWS``, the least hashes of id and text) gives
+A bounded sample of documents (``SAMPLE_ROWS``, the least hashes of ids) gives
 every rule's cost (measured seconds) and what it rejects.  The order is greedy: next
 comes the rule that rejects most of the sample's remaining rows per second of cost.
 All documents then run through the rules in that order, up to the first rejection.
@@ -132,8 +132,10 @@ def ordered_rules(docs: DataFrame, rules: Sequence[Rule], doc_id: str = "doc_id"
             seconds = time.process_time() - started
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seconds]), pa.array([fails])], names=["rule", "cost", "fails"])
 
-    hashed = F.xxhash64(doc_id, text)
-    sample = docs.select(F.col(text).alias("text"), hashed.alias("h")).orderBy("h").limit(rows).select("text")
+    # the ids alone give the bound of the least hashes, so that few texts are read on
+    hashed = F.xxhash64(doc_id)
+    bound = docs.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    sample = docs.where(hashed <= F.lit(bound)).select(F.col(text).alias("text")).limit(rows)
     seen = sorted(sample.coalesce(1).mapInArrow(measure, "rule long, cost double, fails array<boolean>").collect())
     if not seen:
         return list(rules)

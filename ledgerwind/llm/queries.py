@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwind.llm.quality import QUALITY_SQL
+from ledgerwind.llm.urls import URLS_SQL
 from ledgerwind.llm.warc import WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
+CHECKS: dict[str, str] = {"op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,3 +65,10 @@ def op9_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.warc import round_trip
 
     return round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op4_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.urls import url_verdicts
+
+    return url_verdicts(table(spark, folder, "pages"))
