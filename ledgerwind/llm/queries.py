@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwind.llm.quality import QUALITY_SQL
 from ledgerwind.llm.urls import URLS_SQL
+from ledgerwind.llm.vectors import VECTORS_SQL
 from ledgerwind.llm.warc import WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
+CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,3 +73,10 @@ def op4_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.urls import url_verdicts
 
     return url_verdicts(table(spark, folder, "pages"))
+
+
+@query
+def op2_pivot_join(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
