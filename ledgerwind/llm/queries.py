@@ -80,3 +80,10 @@ def op2_pivot_join(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.vectors import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.secrets import secret_report
+
+    return secret_report(table(spark, folder, "documents"))
