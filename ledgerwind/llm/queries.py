@@ -87,3 +87,10 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.secrets import secret_report
 
     return secret_report(table(spark, folder, "documents"))
+
+
+@query
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.repeats import removal_report
+
+    return removal_report(table(spark, folder, "documents"))

@@ -44,7 +44,10 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_"), ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
 )
 RANDOM_LEVEL = 1e-4
-DISCOVERY_RATE = 1e-3
+DISCOVERY_RATE = 0.01
+#: Identifiers change class more often than words: ordinary tokens switch at least so often.
+LEAST_SWITCH = {"hex": 0.1, "HEX": 0.1}
+LEAST_SWITCH_ELSE = 0.3
 BINS_PER_DECADE, MOST_BINS = 20, 6000
 
 _CLASS = np.zeros(256, dtype=np.int64)  # 0: not in tokens; digits, lower, upper, signs
@@ -124,13 +127,14 @@ class Ordinary:
     def __init__(self, stats: np.ndarray) -> None:
         pairs = stats[256:].reshape(5, 5)
         self.moments = []
-        for _, symbols in ENCODINGS:
+        for name, symbols in ENCODINGS:
             share = stats[list(symbols.encode())] + 1.0
             share = share / share.sum()
             use = sorted(set(_CLASS[list(symbols.encode())].tolist()))
             block = pairs[np.ix_(use, use)]
             switch = (block.sum() - np.trace(block) + 1.0) / (block.sum() + 2.0)
-            self.moments.append((len(symbols), float((share**2).sum()), float((share**3).sum()), float(switch)))
+            switch = max(float(switch), LEAST_SWITCH.get(name, LEAST_SWITCH_ELSE))
+            self.moments.append((len(symbols), float((share**2).sum()), float((share**3).sum()), switch))
 
     def log10_p(self, encoding: int, n: int, chi: float, switches: int) -> float:
         k, s2, s3, switch = self.moments[encoding]
