@@ -94,3 +94,15 @@ def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.repeats import removal_report
 
     return removal_report(table(spark, folder, "documents"))
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_pieces, pieces and round_trip of every document."""
+    from pyspark.sql import functions as F
+
+    from ledgerwind.llm.pieces import encode
+    from ledgerwind.llm.vocabularies import default_model
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return encode(docs, default_model(), drop_text=True).select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "round_trip")
