@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwind.llm.names import fresh
 from ledgerwind.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,10 +174,9 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 to 2 times), all columns kept."""
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    marked = materialise(
-        docs.select("*", size.alias("_size"), F.col(source).alias("_source"), F.monotonically_increasing_id().alias("_row")), "mix-documents"
-    )
-    skinny = marked.select(F.col("_row").alias("mix_row"), F.col("_source").alias("source"), F.col("_size").alias("size"))
-    copies = mix(skinny, "mix_row").where("copies > 0").select("mix_row", "copies")
-    taken = marked.join(copies, marked["_row"] == copies["mix_row"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    row, words, copies, at, copy = fresh(docs, "row", "words", "copies", "at", "copy")
+    marked = materialise(docs.select("*", size.alias(words), F.monotonically_increasing_id().alias(row)), "mix-documents")
+    skinny = marked.select(F.col(row).alias("mix_row"), F.col(source).alias("source"), F.col(words).alias("size"))
+    taken = mix(skinny, "mix_row").where("copies > 0").select(F.col("mix_row").alias(at), F.col("copies").cast("int").alias(copies))
+    joined = marked.join(taken, F.col(row) == F.col(at))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

@@ -287,7 +287,8 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
     """All rows and columns of ``docs`` with ``pieces`` (ids) and ``round_trip``.
 
     A null or empty text has no pieces.  ``round_trip`` says whether decoding the ids gives
-    the text again.  Repeated rows stay; an empty table gives an empty result.
+    the text again.  Columns of these two names are replaced.  Repeated rows stay; an
+    empty table gives an empty result.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +304,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
                     some = units[at : at + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string())], names=["block", "unit"])
 
-    kept = [n for n in docs.columns if not (drop_text and n == text)]
+    kept = [n for n in docs.columns if not (drop_text and n == text) and n not in ("pieces", "round_trip")]
 
     def map_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = model.units.findall

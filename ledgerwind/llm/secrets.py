@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwind.llm.names import fresh
 from ledgerwind.session import materialise
 
 #: Fixed values of the base patterns: kind, pattern, group to measure, least characters.
@@ -266,16 +267,16 @@ def masked(text: str, spans: list[dict], mark: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs`` with secrets in ``text`` replaced and ``n_chars`` (if there) counted anew."""
-    marked = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
-    found = find_secrets(marked.select(F.col("_row").alias("row"), F.col(text).alias("text")))
-    spans = found.select(F.col("row").alias("_of"), F.concat("base", "found").alias("_spans")).where(F.size("_spans") > 0)
-    # the other rows need no work and do not meet the replacing task
-    joined = marked.join(spans, marked["_row"] == spans["_of"], "left").drop("_row", "_of")
+    row, at, spans = fresh(docs, "row", "at", "spans")
+    marked = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "secret-documents")
+    found = find_secrets(marked.select(F.col(row).alias("row"), F.col(text).alias("text")))
+    found = found.select(F.col("row").alias(at), F.concat("base", "found").alias(spans)).where(F.size(spans) > 0)
+    joined = marked.join(found, F.col(row) == F.col(at), "left").drop(row, at)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = batch.schema.get_field_index(text)
-            rows = zip(batch.column(where).to_pylist(), batch.column("_spans").to_pylist(), strict=True)
+            rows = zip(batch.column(where).to_pylist(), batch.column(spans).to_pylist(), strict=True)
             columns = list(batch.columns[:-1])
             columns[where] = pa.array([masked(t, s, mark) if s else t for t, s in rows], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])

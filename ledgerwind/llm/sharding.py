@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwind.llm.names import fresh
 from ledgerwind.session import materialise
 
 SHARDS = 16
@@ -129,8 +130,10 @@ def shards_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", rows_per_file: int = 100_000) -> None:
     """Write ``docs``, all columns, as Parquet under ``path``/shard=K, in slot order inside each file."""
-    marked = materialise(docs.select("*", *[c.alias(f"_{n}") for c, n in zip(_measured(docs, doc_id, text), ("id", "size", "crc", "tie"))]), "shard-documents")
-    laid = laid_out(marked.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("crc"), F.col("_tie").alias("tie")), shards)
-    laid = laid.select(F.col("tie").alias("_at"), "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("_file"))
-    joined = marked.join(laid, marked["_tie"] == laid["_at"]).repartition("shard", "_file").sortWithinPartitions("shard", "slot")
-    joined.select(*docs.columns, "slot", "shard").write.partitionBy("shard").parquet(path)
+    helpers = fresh(docs, "id", "size", "crc", "tie", "at", "shard", "slot", "file")
+    names, (at, shard, slot, file) = helpers[:4], helpers[4:]
+    marked = materialise(docs.select("*", *[c.alias(n) for c, n in zip(_measured(docs, doc_id, text), names)]), "shard-documents")
+    laid = laid_out(marked.select(*[F.col(n).alias(to) for n, to in zip(names, ("doc_id", "size", "crc", "tie"))]), shards)
+    laid = laid.select(F.col("tie").alias(at), F.col("shard").alias(shard), F.col("slot").alias(slot), F.floor(F.col("slot") / rows_per_file).alias(file))
+    joined = marked.join(laid, F.col(names[3]) == F.col(at)).repartition(shard, file).sortWithinPartitions(shard, slot)
+    joined.select(*docs.columns, slot, shard).write.partitionBy(shard).parquet(path)

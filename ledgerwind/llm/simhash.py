@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerwind.llm.components import components
+from ledgerwind.llm.names import fresh
 from ledgerwind.session import materialise
 
 SEED = 42
@@ -216,19 +217,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Ids that are null come last, equal ids are told apart by text, and of repeated rows
     one stays.  All columns are kept; an empty table gives an empty result.
     """
-    columns = docs.columns
-    marked = materialise(with_fingerprints(docs, text, width, "_fp").withColumn("_th", F.xxhash64(F.lit(1), text)), "fingerprinted")
-    groups = fingerprint_groups(marked.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp")))
-    groups = groups.select(F.col("fp").alias("_gfp"), "root")
-    rank = F.struct(F.col(doc_id).isNull().alias("n"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.col("_th").alias("h"), F.col("_fp").alias("f"))
-    rows = marked.join(groups, marked["_fp"] == groups["_gfp"])
-    winners = materialise(rows.groupBy("root").agg(F.min(rank).alias("w"), F.count("*").alias("_in_group")), "winners")
-    chosen = winners.select(
-        F.col("w.f").alias("_wf"), F.col("w.h").alias("_wh"), F.col("w.n").alias("_wn"), F.col("w.d").alias("_wd"), "_in_group"
-    )
-    same_id = (F.col("_wn") & F.col(doc_id).isNull()) | (~F.col("_wn") & (F.col("_wd") == F.col(doc_id)))
-    left = marked.join(chosen, (marked["_fp"] == chosen["_wf"]) & (marked["_th"] == chosen["_wh"]) & same_id)
-    alone = left.where("_in_group = 1").select(columns)
+    f, h, g, gf, wf, wh, wn, wd, many = fresh(docs, "fp", "th", "group", "gfp", "wfp", "wth", "wnull", "wid", "many")
+    marked = materialise(with_fingerprints(docs, text, width, f).withColumn(h, F.xxhash64(F.lit(1), text)), "fingerprinted")
+    groups = fingerprint_groups(marked.select(F.col(doc_id).alias("doc_id"), F.col(f).alias("fp")))
+    groups = groups.select(F.col("fp").alias(gf), F.col("root").alias(g))
+    rank = F.struct(F.col(doc_id).isNull().alias("n"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.col(h).alias("h"), F.col(f).alias("f"))
+    rows = marked.select(doc_id, f, h).join(groups, F.col(f) == F.col(gf))
+    least = rows.groupBy(g).agg(F.min(rank).alias("w"), F.count("*").alias(many))
+    chosen = materialise(least.select(F.col("w.f").alias(wf), F.col("w.h").alias(wh), F.col("w.n").alias(wn), F.col("w.d").alias(wd), many), "winners")
+    same_id = (F.col(wn) & F.col(doc_id).isNull()) | (~F.col(wn) & (F.col(wd) == F.col(doc_id)))
+    left = marked.join(chosen, (F.col(f) == F.col(wf)) & (F.col(h) == F.col(wh)) & same_id)
+    alone = left.where(F.col(many) == 1).select(docs.columns)
     # within larger groups only rows with the same id and text are left: one of them stays
-    repeated = left.where("_in_group > 1").dropDuplicates(["_fp"]).select(columns)
+    repeated = left.where(F.col(many) > 1).dropDuplicates([f]).select(docs.columns)
     return alone.unionByName(repeated)
