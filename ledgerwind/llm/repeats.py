@@ -224,7 +224,18 @@ def _stored(texts: DataFrame, buckets: int) -> DataFrame:
 def _repeated(rows: DataFrame, rank: str, weight: F.Column) -> DataFrame:
     """Ranks that two or more places have, each with its representative."""
     told = rows.where(F.col(rank).isNotNull()).groupBy(rank).agg(F.sum(weight).alias("w"), F.min(F.struct("k", "a")).alias("first"))
-    return told.where("w > 1").select(F.col(rank).alias(f"{rank}_r"), "first")
+    return _list(told.where("w > 1").select(F.col(rank).alias(f"{rank}_r"), "first"))
+
+
+def _asked(rows: DataFrame, rank: str, weight: F.Column) -> DataFrame:
+    """Ranks of two or more places, one of them still open."""
+    told = rows.groupBy(rank).agg(F.sum(weight).alias("w"), F.bool_or(~F.col("rep")).alias("asked"))
+    return _list(told.where("w > 1 and asked").select(F.col(rank).alias(f"{rank}_r")))
+
+
+def _list(ranks: DataFrame) -> DataFrame:
+    """Stored before it is joined: a rank that many places have is split over tasks then."""
+    return materialise(ranks, "ranks")
 
 
 def _per_text(items: DataFrame, *names: str) -> DataFrame:
@@ -235,33 +246,33 @@ def repeated_strings(texts: DataFrame) -> DataFrame:
     """(k, first, end): ranges of starts of repeated strings, over stored ``texts`` (k, data)."""
     one, two = F.lit(1), F.when(F.col("rep"), 2).otherwise(1)
     found = materialise(texts.select("k", "data").mapInArrow(_find_anchors, _ANCHORS), "anchors")
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("seed_r"))
+    seeds = _list(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select(F.col("seed").alias("seed_r")))
     matched = materialise(found.join(seeds, found["seed"] == seeds["seed_r"]).drop("seed_r"), "anchors-matched")
     contexts = _repeated(matched, "context", one)
     ranked = materialise(matched.join(contexts, matched["context"] == contexts["context_r"], "left"), "anchors-ranked")
     sure = ranked.where("first is not null").select("k", (F.col("a") - F.col("hi") + 1).alias("first"), (F.col("a") - F.col("lo") + 1).alias("end"))
     open_ = ranked.where("first is null").withColumn("rep", F.lit(False))
-    dirty = open_.select(F.col("seed").alias("dirty")).distinct()
+    dirty = _list(open_.select(F.col("seed").alias("dirty")).distinct())
     stand_in = ranked.where("first = struct(k, a)").withColumn("rep", F.lit(True))
     stand_in = stand_in.join(dirty, stand_in["seed"] == dirty["dirty"], "left_semi")
     names = ("a", "lo", "hi", "seed", "rep")
     state = _per_text(open_.select("k", *names).unionByName(stand_in.select("k", *names)), *names)
 
     zones = materialise(texts.select("k", "data").join(state, "k").mapInArrow(_find_zones, _ZONES), "zones")
-    cores = zones.groupBy("core").agg(F.sum(two).alias("n"), F.bool_or(~F.col("rep")).alias("asked")).where("n > 1 and asked").select(F.col("core").alias("core_r"))
+    cores = _asked(zones, "core", two)
     hulls = _repeated(zones, "hull", two)
     left = zones.join(cores, zones["core"] == cores["core_r"]).drop("core_r")
     left = materialise(left.join(hulls, left["hull"] == hulls["hull_r"], "left"), "zones-ranked")
     sure_zones = left.where("first is not null and not rep").select("k", (F.col("a") - F.col("hi") + 1).alias("first"), (F.col("a") - F.col("lo") + 1).alias("end"))
     open_zones = left.where("first is null and not rep")
-    dirty = open_zones.select(F.col("core").alias("dirty")).distinct()
+    dirty = _list(open_zones.select(F.col("core").alias("dirty")).distinct())
     stand_in = left.where("(first is null and rep) or first = struct(k, a)").withColumn("rep", F.lit(True))
     stand_in = stand_in.join(dirty, stand_in["core"] == dirty["dirty"], "left_semi")
     names = ("a", "lo", "hi", "rep")
     state = _per_text(open_zones.select("k", *names).unionByName(stand_in.select("k", *names)), *names)
 
     strings = materialise(texts.select("k", "data").join(state, "k").mapInArrow(_find_strings, _STRINGS), "strings")
-    many = strings.groupBy("string").agg(F.sum(two).alias("n"), F.bool_or(~F.col("rep")).alias("asked")).where("n > 1 and asked").select(F.col("string").alias("string_r"))
+    many = _asked(strings, "string", two)
     single = strings.where("not rep").join(many, strings["string"] == many["string_r"]).select("k", F.col("start").alias("first"), (F.col("start") + 1).alias("end"))
     return sure.unionByName(sure_zones).unionByName(single)
 

@@ -65,12 +65,15 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     levels = tree.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(levels):
         open_ = tree.where(F.size("parts") > level).withColumn("part", F.col("parts")[level])
-        child = open_.groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labels")])
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"))
+        # stored before they are joined, so that the nodes of one host are split over tasks
+        child = materialise(open_.groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labels")]), "url-children")
+        node = materialise(child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n")), "url-nodes")
         sorted_out = child.join(node, ["host", "template"]).withColumn(
             "variable", (F.col("children") >= CHILDREN) & (100 * F.col("n") <= RARE_PERCENT * F.col("all_n"))
         )
+        sorted_out = materialise(sorted_out, "url-sorted")
         pool = sorted_out.where("not variable").groupBy("host", "template").agg(F.sum("blocked").alias("pool_blocked"), F.sum("labels").alias("pool_labels"))
+        pool = materialise(pool, "url-pools")
         b, m, pb, pm = (F.col(c).cast("double") for c in ("blocked", "labels", "pool_blocked", "pool_labels"))
         alike = (F.col("labels") >= MIN_LABELS) & (F.pow(b * pm - m * pb, F.lit(2.0)) <= F.lit(Z * Z) * m * pb * (pm - pb))
         step = F.when(F.col("variable"), F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("part"))
@@ -79,6 +82,7 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         )
         keyed = tree.withColumn("part", F.get("parts", F.lit(level)))
         same = (F.col("host") == F.col("ch")) & (F.col("template") == F.col("ct")) & (F.col("part") == F.col("cp"))
+        named = materialise(named, "url-steps")
         tree = materialise(
             keyed.join(named, same, "left").select(
                 "host", "path", "n", "blocked", "labels", "parts", F.coalesce("longer", "template").alias("template")
@@ -108,6 +112,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, page_id: str =
     prior = (whole["b"] + 1.0) / (whole["m"] + 2.0)
     purity = (F.col("tb") + F.lit(SMOOTHING * prior)) / (F.col("tl") + F.lit(SMOOTHING))
     bad = by_template.where((F.col("tl") >= MIN_LABELS) & (purity >= PURITY)).select("host", "template", F.lit(True).alias("rejected"))
+    bad = materialise(bad, "url-rejected")
     marked = tree.join(bad, ["host", "template"], "left").select(
         F.col("host").alias("th"), F.col("path").alias("tp"), "template", F.coalesce("rejected", F.lit(False)).alias("rejected")
     )
