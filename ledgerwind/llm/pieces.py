@@ -171,10 +171,11 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def lattice(units: DataFrame, model: Model) -> DataFrame:
+def lattice(units: DataFrame, model: Model, masks: bool) -> DataFrame:
     """(unit, edges): all pieces inside each unit, and single characters without a piece.
 
-    An edge has its rank, score, ``ends`` and ``inner`` boundaries as bit masks, start and ids.
+    An edge has its rank, score, start, end, ids and, if ``masks``, its ``ends`` and
+    ``inner`` boundaries as bits.
     """
     spark = units.sparkSession
     size = F.char_length("unit")
@@ -192,7 +193,10 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     else:
         spare = F.array(F.lit(model.unknown))
     end = F.col("s") + F.col("l")
-    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+    def bit(n: F.Column) -> F.Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n) if masks else F.lit(0).cast("long")
+
     lowest = min((p[1] for p in model.pieces if p[2] == NORMAL), default=0.0) - 10.0
     edge = F.struct(
         F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), F.col("s").cast("int").alias("s"), end.cast("int").alias("e"),
@@ -238,10 +242,9 @@ def viterbi_fold(edges: F.Column, size: F.Column) -> F.Column:
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) of the rows of ``units``, which are different and not empty."""
     short = units.where(F.char_length("unit") <= LONGEST)
-    fold = merge_fold if model.kind == BPE else viterbi_fold
-    found = lattice(short, model).select("unit", fold(F.col("edges"), F.char_length("unit")).alias("ids"))
     if model.kind != BPE:
-        return found.unionByName(lattice(units.where(F.char_length("unit") > LONGEST), model).select("unit", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("ids")))
+        return lattice(units, model, False).select("unit", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
+    found = lattice(short, model, True).select("unit", merge_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
