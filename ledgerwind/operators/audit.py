@@ -1,104 +1,102 @@
 """Tamper-evident audit chains.
 
 Each row carries the hash of the row before it and its own hash over that and
-its canonical text.  Building is sequential inside a chain, so long chains are
-cut into segments of bounded size whose tails are chained again ("seals");
-verifying is parallel over all rows.
+its canonical text; a chain is never cut.  Building is sequential by nature: a
+chain's rows stream in order through one task that holds the last hash only.
+Verifying needs no order: every row is joined to its predecessor by that one's
+hash, so the rows of a long chain spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerwind import fixed_values as fv
 
-SEGMENT_ROWS = 1000
-
 
 def canonical_json(columns: Sequence[str]) -> Column:
     """Keys sorted, no blanks, nulls and non-ASCII kept."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
-def segment_of(order: str, rows: int = SEGMENT_ROWS) -> Column:
-    return F.floor(F.col(order) / rows)
+def _link(previous: Column, text: Column) -> Column:
+    return F.sha2(F.concat(previous, text), 256)
 
 
-def genesis(chain: str, segment: str) -> Column:
-    """Start of a segment: empty for the first, a digest of its address for the rest."""
-    address = F.concat_ws("#", F.col(chain).cast("string"), F.col(segment).cast("string"))
-    return F.when(F.col(segment) == 0, F.lit("")).otherwise(F.sha2(address, 256))
+def build_chain(rows: DataFrame, chain: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """Add ``prev_hash`` and ``row_hash``; ``order`` numbers the rows of a chain uniquely."""
+    columns = rows.columns
+    laid = rows.withColumn("_text", canonical_json(fields)).repartition(chain).sortWithinPartitions(chain, order)
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, ""
+        for batch in batches:
+            before, own = [], []
+            for key, text in zip(batch.column(chain).to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                if at is None or key != at[0]:
+                    at, last = (key,), ""
+                before.append(last)
+                last = hashlib.sha256((last + text).encode()).hexdigest()
+                own.append(last)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*columns, "prev_hash", "row_hash"]
+            )
 
-def _link(previous: Column, text: Column) -> Column:
-    return F.sha2(F.concat(previous, text), 256)
+    added = [StructField(c, StringType()) for c in ("prev_hash", "row_hash")]
+    return laid.mapInArrow(walk, StructType([*rows.schema.fields, *added]))
 
 
-def build_chain(rows: DataFrame, chain: str, order: str, fields: Sequence[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Add ``prev_hash`` and ``row_hash``; ``order`` numbers the rows of a chain.
+def chain_seals(chained: DataFrame, chain: str, order: str) -> DataFrame:
+    """The tail and length of every chain, with a hash over both; kept apart, they show cut tails."""
+    tails = chained.groupBy(chain).agg(F.max_by("row_hash", order).alias("tail_hash"), F.count("*").alias("rows"))
+    return tails.withColumn("row_hash", F.sha2(canonical_json(["tail_hash", "rows"]), 256))
+
+
+def cut_tails(chained: DataFrame, seals: DataFrame, chain: str, order: str) -> DataFrame:
+    """Sealed chains whose tail or length is no longer what the seal says."""
+    now = chain_seals(chained, chain, order).select(F.col(chain).alias("_chain"), F.col("row_hash").alias("_now"))
+    return seals.join(now, F.col(chain).eqNullSafe(F.col("_chain")), "left").filter(~F.col("row_hash").eqNullSafe(F.col("_now"))).select(chain)
 
-    Rows are gathered by chain and segment, and order numbers are unique in a
-    chain, so no group exceeds the segment size however hot the chain is.
-    """
-    keyed = rows.withColumn("_segment", segment_of(order, segment_rows))
-    kept = [c for c in rows.columns if c != chain]
-    gathered = (
-        keyed.groupBy(chain, "_segment")
-        .agg(F.sort_array(F.collect_list(F.struct(order, canonical_json(fields).alias("_text"), F.struct(*kept).alias("_row")))).alias("_rows"))
-        .withColumn("_start", genesis(chain, "_segment"))
-    )
-    hashes = F.aggregate(
-        "_rows",
-        F.array("_start"),
-        lambda done, row: F.concat(done, F.array(_link(F.element_at(done, -1), row["_text"]))),
-    )
-    linked = gathered.withColumn("_hashes", hashes).select(
-        chain,
-        F.inline(F.arrays_zip(
-            F.col("_rows").alias("row"),
-            F.slice("_hashes", 1, F.size("_rows")).alias("prev_hash"),
-            F.slice("_hashes", 2, F.size("_rows")).alias("row_hash"),
-        )),
-    )
-    return linked.select(chain, *[F.col(f"row._row.{c}").alias(c) for c in kept], "prev_hash", "row_hash").select(
-        *rows.columns, "prev_hash", "row_hash"
-    )
 
+def _checked(chained: DataFrame, chain: str, order: str, fields: Sequence[str]) -> DataFrame:
+    """Every row with ``_intact``.
 
-def segment_seals(chained: DataFrame, chain: str, order: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Chain of segment tails, itself segmented: one row per chain and segment."""
-    tails = (
-        chained.groupBy(chain, segment_of(order, segment_rows).alias("segment"))
-        .agg(F.max_by("row_hash", order).alias("tail_hash"), F.count("*").alias("rows"))
+    A row is intact if its hash follows from its own content, if the row whose hash
+    it names is there and stands before it, and if no earlier row names the same
+    one.  When all rows are, the links form one line in the chain's order.
+    """
+    sources = chained.groupBy(chain, "row_hash").agg(F.min(order).alias("_source")).select(
+        F.col(chain).alias("_source_chain"), F.col("row_hash").alias("_source_hash"), "_source"
+    )
+    first = chained.groupBy(chain, "prev_hash").agg(F.min(order).alias("_first")).select(
+        F.col(chain).alias("_first_chain"), F.col("prev_hash").alias("_first_hash"), "_first"
     )
-    return build_chain(tails, chain, "segment", ["tail_hash", "rows"], segment_rows)
+    joined = chained.join(
+        sources, F.col(chain).eqNullSafe(F.col("_source_chain")) & (F.col("prev_hash") == F.col("_source_hash")), "left"
+    ).join(first, F.col(chain).eqNullSafe(F.col("_first_chain")) & F.col("prev_hash").eqNullSafe(F.col("_first_hash")), "left")
+    content = F.col("row_hash").eqNullSafe(_link(F.col("prev_hash"), canonical_json(fields)))
+    follows = (F.col("prev_hash") == "") | (F.col("_source") < F.col(order))
+    alone = F.col("_first") == F.col(order)
+    return joined.withColumn("_intact", content & F.coalesce(follows, F.lit(False)) & F.coalesce(alone, F.lit(False)))
 
 
-def broken_rows(chained: DataFrame, chain: str, order: str, fields: Sequence[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def broken_rows(chained: DataFrame, chain: str, order: str, fields: Sequence[str]) -> DataFrame:
     """Rows whose stored hashes do not follow from the row before them."""
-    keyed = chained.withColumn("_segment", segment_of(order, segment_rows))
-    before = F.lag("row_hash").over(Window.partitionBy(chain, "_segment").orderBy(order))
-    expected = F.coalesce(before, genesis(chain, "_segment"))
-    intact = F.col("prev_hash").eqNullSafe(F.col("_expected")) & F.col("row_hash").eqNullSafe(
-        _link(F.col("_expected"), canonical_json(fields))
-    )
-    return keyed.withColumn("_expected", expected).filter(~intact).drop("_expected", "_segment")
+    return _checked(chained, chain, order, fields).filter("not _intact").select(*chained.columns)
 
 
-def verify_chain(chained: DataFrame, chain: str, order: str, fields: Sequence[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def verify_chain(chained: DataFrame, chain: str, order: str, fields: Sequence[str]) -> DataFrame:
     """``(is_intact, first_broken)`` per chain; -1 when nothing is broken."""
-    keyed = chained.withColumn("_segment", segment_of(order, segment_rows))
-    before = F.lag("row_hash").over(Window.partitionBy(chain, "_segment").orderBy(order))
-    expected = F.coalesce(before, genesis(chain, "_segment"))
-    checked = keyed.withColumn("_expected", expected)
-    intact = F.col("prev_hash").eqNullSafe(F.col("_expected")) & F.col("row_hash").eqNullSafe(
-        _link(F.col("_expected"), canonical_json(fields))
-    )
-    return checked.groupBy(chain).agg(F.min(F.when(~intact, F.col(order))).alias("_first")).select(
-        chain, F.col("_first").isNull().alias("is_intact"), F.coalesce("_first", F.lit(-1)).alias("first_broken")
+    checked = _checked(chained, chain, order, fields)
+    return checked.groupBy(chain).agg(F.min(F.when(~F.col("_intact"), F.col(order))).alias("_first_broken")).select(
+        chain, F.col("_first_broken").isNull().alias("is_intact"), F.coalesce("_first_broken", F.lit(-1)).alias("first_broken")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwind.functions import phi
@@ -26,6 +26,44 @@ FROM chain_v c JOIN chain_ordered_v r ON r.conv_id = c.conv_id AND r.i = c.i + 1
 """)
 
 
+EVENT_FIELDS = ["event_id", "event_type", "user_id"]
+
+view("event_rows_v", """
+SELECT event_id, event_type, to_json({'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS canon,
+       row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events
+""")
+view("event_chain_v", """
+SELECT event_id, event_type, i, '' AS prev_hash, sha256('' || canon) AS row_hash FROM event_rows_v WHERE i = 1
+UNION ALL
+SELECT r.event_id, r.event_type, r.i, c.row_hash, sha256(c.row_hash || r.canon)
+FROM event_chain_v c JOIN event_rows_v r ON r.event_type = c.event_type AND r.i = c.i + 1
+""")
+
+
+def long_chains(lake: Lake) -> DataFrame:
+    rows = lake.table("events").select(*EVENT_FIELDS)
+    return audit.build_chain(rows, "event_type", "event_id", EVENT_FIELDS)
+
+
+@register("chain_long", "SELECT event_id, event_type, prev_hash, row_hash FROM event_chain_v")
+def _long(lake: Lake) -> DataFrame:
+    return long_chains(lake).select("event_id", "event_type", "prev_hash", "row_hash")
+
+
+@register(
+    "chain_long_deletions",
+    """SELECT event_type, event_id FROM (
+         SELECT event_type, event_id, gone, lag(gone) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM (
+           SELECT event_type, event_id, i BETWEEN 6 AND 10 OR i BETWEEN 991 AND 1000 OR i BETWEEN 1101 AND 2000 AS gone FROM event_rows_v))
+       WHERE before AND NOT gone""",
+)
+def _long_deletions(lake: Lake) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    gone = F.col("_i").between(6, 10) | F.col("_i").between(991, 1000) | F.col("_i").between(1101, 2000)
+    kept = long_chains(lake).withColumn("_i", place).filter(~gone).drop("_i")
+    return audit.broken_rows(kept, "event_type", "event_id", EVENT_FIELDS).select("event_type", "event_id")
+
+
 def chained(lake: Lake) -> DataFrame:
     return audit.build_chain(lake.table("conversations"), "conv_id", "turn", FIELDS)
 
@@ -62,7 +100,8 @@ def _deletions(lake: Lake) -> DataFrame:
               sha256(to_json({'rows': count(*), 'tail_hash': arg_max(row_hash, turn)})) AS row_hash FROM chain_v GROUP BY conv_id""",
 )
 def _seals(lake: Lake) -> DataFrame:
-    return audit.segment_seals(chained(lake), "conv_id", "turn").drop("prev_hash")
+    seals = audit.chain_seals(chained(lake), "conv_id", "turn")
+    return seals.select("conv_id", F.lit(0).cast("bigint").alias("segment"), "tail_hash", "rows", "row_hash")
 
 
 @register(

@@ -39,16 +39,29 @@ def test_tampering_is_located(spark):
     assert deleted.first_broken == 2
 
 
-def test_long_chains_are_cut_and_sealed(spark):
-    chained = audit.build_chain(log_rows(spark, 25, ("a", "b")), "session", "ord", FIELDS, segment_rows=10)
-    assert audit.verify_chain(chained, "session", "ord", FIELDS, 10).filter("is_intact").count() == 2
-    seals = audit.segment_seals(chained, "session", "ord", 10)
-    assert seals.count() == 6 and seals.agg(F.sum("rows")).first()[0] == 50
-    fewer = audit.segment_seals(chained.filter("ord < 20"), "session", "ord", 10)
-    assert fewer.count() == 4
-    edited = chained.withColumn("note", F.when((F.col("ord") == 12) & (F.col("session") == "b"), "x").otherwise(F.col("note")))
-    rows = {r.session: r.first_broken for r in audit.verify_chain(edited, "session", "ord", FIELDS, 10).collect()}
-    assert rows == {"a": -1, "b": 12}
+def test_long_chains_are_unbroken(spark):
+    chained = audit.build_chain(log_rows(spark, 2500, ("a", "b")), "session", "ord", FIELDS).persist()
+    assert audit.verify_chain(chained, "session", "ord", FIELDS).filter("is_intact").count() == 2
+    for low, high in ((990, 999), (1000, 1999)):
+        less = chained.filter(f"session = 'a' or ord not between {low} and {high}")
+        rows = {r.session: r.first_broken for r in audit.verify_chain(less, "session", "ord", FIELDS).collect()}
+        assert rows == {"a": -1, "b": high + 1}
+    edited = chained.withColumn("note", F.when((F.col("ord") == 1012) & (F.col("session") == "b"), "x").otherwise(F.col("note")))
+    assert [(r.session, r.ord) for r in audit.broken_rows(edited, "session", "ord", FIELDS).collect()] == [("b", 1012)]
+    chained.unpersist()
+
+
+def test_moved_repeated_and_cut_rows_are_found(spark):
+    chained = audit.build_chain(log_rows(spark, 6), "session", "ord", FIELDS).persist()
+    swapped = chained.withColumn("ord", F.when(F.col("ord") == 3, 4).when(F.col("ord") == 4, 3).otherwise(F.col("ord")))
+    assert audit.verify_chain(swapped, "session", "ord", FIELDS).first().first_broken == 3
+    again = chained.unionByName(chained.filter("ord = 2").withColumn("ord", F.lit(9).cast("bigint")))
+    assert audit.verify_chain(again, "session", "ord", FIELDS).first().first_broken == 9
+    assert audit.verify_chain(chained.filter("ord > 0"), "session", "ord", FIELDS).first().first_broken == 1
+    seals = audit.chain_seals(chained, "session", "ord")
+    assert audit.cut_tails(chained, seals, "session", "ord").isEmpty()
+    assert audit.cut_tails(chained.filter("ord < 5"), seals, "session", "ord").count() == 1
+    chained.unpersist()
 
 
 def python_replay(events, limit, seconds):
