@@ -149,12 +149,12 @@ def span_of(frame: DataFrame, earliest: Column, latest: Column, measures: list[s
     """First and last date of an aggregated frame, as lazy one-value subqueries.
 
     The dates are taken under a condition on every measure.  It always holds,
-    but it keeps the measures in the subquery, which then reads the shuffle
-    files of the frame itself instead of scanning the facts again.
+    also for null and NaN, but it keeps the measures in the subquery, which then
+    reads the shuffle files of the frame itself instead of scanning the facts again.
     """
     present = F.lit(True)
     for m in measures:
-        present = present & (F.abs(m) >= 0)
+        present = present & F.coalesce(F.abs(m) >= 0, F.lit(True))
     span = frame.agg(F.min(F.when(present, earliest)).alias("first"), F.max(F.when(present, latest)).alias("last"))
     return span.select("first").scalar(), span.select("last").scalar()
 

@@ -59,10 +59,15 @@ def run_ingest(
     order: str = "_ord",
     fail_on_quality: bool = True,
     permissive: bool = False,
+    delta: bool = False,
 ) -> IngestReport:
-    """Ingest every source frame; ``order`` names the column that ranks its rows."""
+    """Ingest every source frame; ``order`` names the column that ranks its rows.
+
+    With ``delta`` the rows are published behind what is there instead of in its
+    place, and the record-count rule, which compares whole tables, is left out.
+    """
     report = IngestReport(run_id)
-    prior = store.current()
+    prior = {} if delta else store.current()
     staged: dict[str, tuple[str, int]] = {}
     for entity, source in sources.items():
         incoming = [c for c in source.columns if c != order]
@@ -74,7 +79,8 @@ def run_ingest(
         _ingest_entity(spark, source, entity, store, report, prior, staged, phi_key, order, permissive)
     report.aborted = not report.schema_ok or (fail_on_quality and not report.quality_ok)
     if not report.aborted:
-        store.commit(run_id, sequence, staged)
+        keys = {f"curated/{e}": contracts.PRIMARY_KEYS[e] for e in sources}
+        store.commit(run_id, sequence, staged, "delta" if delta else "whole", keys)
     write_audit_row(spark, store, report)
     return report
 

@@ -1,8 +1,8 @@
 """The nightly run over stored tables: features, forecasts, alerts, index.
 
-Every stage reads what earlier stages wrote and writes its own snapshot, so a
-stage is one lazy plan, nothing is computed twice, and a failed stage can be run
-again alone.
+Every stage reads what earlier stages wrote and writes its own snapshots, so a
+stage is one lazy plan, nothing is computed twice, and a stage can be run again
+alone: it replaces what the same date published and leaves all older rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ledgerwind.operators import detect, features, forecast, registry, retrieval
 from ledgerwind.operators.iforest import isolation_forest
 from ledgerwind.operators.thresholds import Overrides
 from ledgerwind.session import materialise
-from ledgerwind.sources.snapshots import SnapshotStore, read_cases, write_partitions
+from ledgerwind.sources.snapshots import SnapshotStore, read_cases
 
 # --- fixed values: date columns stored as ISO text in the curated zone ---------
 DATE_COLUMNS = {
@@ -62,9 +62,9 @@ class Nightly:
             "lop_metrics": features.lop_metrics(self.curated("lop"), self.date),
         }
         self._publish({f"features/{g}": f for g, f in frames.items()})
-        for group in frames:
-            rows = store.to_rows(self.snapshots.read(f"features/{group}"), group, F.current_timestamp())
-            store.write_group(rows, self.snapshots.root)
+        rows = {g: store.to_rows(self.snapshots.read(f"features/{g}"), g, F.current_timestamp()) for g in frames}
+        # a group without rows publishes an empty table, which clears what it had
+        self._publish({f"feature_values/{g}": r for g, r in rows.items()})
 
     def registry(self) -> DataFrame:
         if "registry" in self.snapshots.current():
@@ -89,11 +89,17 @@ class Nightly:
         self._publish({"registry": after, "models": kept})
         champions = registry.champions(self.snapshots.read("registry")).select("model_name", "version")
         serving = self.snapshots.read("models").join(champions, ["model_name", "version"])
-        batch = forecast.forecast_batch(serving, self.date)
-        write_partitions(batch, f"{self.snapshots.root}/forecasts", "entity_type", "forecast_date")
+        # one table per date: a rerun replaces its date's batch, also by an empty one
+        self._publish({f"forecasts/{self.run_date}": forecast.forecast_batch(serving, self.date)})
 
     def stored_forecasts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.snapshots.root}/forecasts")
+        batches = self.snapshots.read_all("forecasts")
+        if batches is None:
+            raise KeyError("forecasts")
+        return batches
+
+    def feature_values(self) -> DataFrame | None:
+        return self.snapshots.read_all("feature_values")
 
     def detection(self) -> dict[str, int]:
         """Run every detector over the facilities and write the alerts of the day."""

@@ -1,4 +1,4 @@
-"""Incremental ingest: each micro-batch of new files runs the batch ingest."""
+"""Incremental ingest: each micro-batch of new files becomes a delta."""
 
 from __future__ import annotations
 
@@ -15,12 +15,22 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the ingest for every micro-batch of a streaming feed, until no files are left.
 
-    The batch number names the run, so a batch replayed after a failure
-    overwrites its own staged files instead of adding to them.
+    A batch that passes is published as a delta behind all earlier commits, whatever
+    its size; readers see the earlier rows and its own.  A batch that is rejected
+    goes to ``quarantine/<entity>``, so no row is lost when the stream moves on.  A
+    batch that was committed before a failure is not committed again.
     """
 
     def one_batch(rows: DataFrame, batch: int) -> None:
-        run_ingest(spark, {entity: rows}, store, f"stream-{entity}-{batch}", batch, phi_key, order)
+        run_id = f"stream-{entity}-{batch}"
+        if store.committed(run_id):
+            return
+        sequence = store.next_sequence()
+        report = run_ingest(spark, {entity: rows}, store, run_id, sequence, phi_key, order, delta=True)
+        if report.aborted:
+            name = f"quarantine/{entity}"
+            path = store.stage(rows, name, run_id)
+            store.commit(run_id, sequence, {name: (path, spark.read.parquet(path).count())}, "delta")
 
     return (
         feed.writeStream.foreachBatch(one_batch)

@@ -148,3 +148,29 @@ def test_stream_ingest_runs_per_drop(spark, tmp_path):
     feed = spark.readStream.schema(VISIT).parquet(str(tmp_path / "feed"))
     ingest_stream(spark, feed, "visits", store, "key").awaitTermination(120)
     assert store.read("curated/visits").count() == 5
+
+
+def test_stream_keeps_every_batch(spark, tmp_path):
+    from ledgerwind.streaming.ingest import ingest_stream
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    run_ingest(spark, {"visits": spark.createDataFrame([visit(100), visit(0, facility_id="old")], VISIT)}, store, "night", 7, "key")
+    drops = [[visit(i) for i in range(20)], [visit(20 + i) for i in range(3)], [visit(30, paid_amount="-5")], [visit(1, facility_id="newer")]]
+    feed = spark.readStream.schema(VISIT).option("recursiveFileLookup", True)
+    for k, rows in enumerate(drops):
+        spark.createDataFrame(rows, VISIT).coalesce(1).write.parquet(str(tmp_path / f"feed/{k}"))
+        ingest_stream(spark, feed.parquet(str(tmp_path / "feed")), "visits", store, "key").awaitTermination(120)
+    rows = {r.visit_id: r.facility_id for r in store.read("curated/visits").collect()}
+    assert len(rows) == store.read("curated/visits").count() == 24
+    assert rows["v1"] == "newer" and rows["v0"] == "f" and "v100" in rows and "v30" not in rows
+    assert store.read("quarantine/visits").count() == 1
+    again = [visit(i) for i in range(30)]
+    report = run_ingest(spark, {"visits": spark.createDataFrame(again, VISIT)}, store, "later", store.next_sequence(), "key")
+    assert not report.aborted and store.read("curated/visits").count() == 30
+
+
+def test_aborted_run_with_a_used_id_changes_nothing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    run_ingest(spark, {"visits": spark.createDataFrame([visit(i) for i in range(10)], VISIT)}, store, "r1", 1, "key")
+    report = run_ingest(spark, {"visits": spark.createDataFrame([visit(1)], VISIT)}, store, "r1", 1, "key")
+    assert report.aborted and store.read("curated/visits").count() == 10 and store.read("raw/visits").count() == 10

@@ -35,3 +35,15 @@ def test_one_night_from_feeds_to_answers(spark, tmp_path):
     second.forecasts()
     stages = {r.stage: r.k for r in second.registry().groupBy("stage").agg(F.count("*").alias("k")).collect()}
     assert stages["Archived"] == stages["Production"]
+
+    def counts_of(date):
+        batches = night.stored_forecasts()
+        return batches.filter(F.col("forecast_date") == date).count(), batches.count(), night.snapshots.read("alerts").count()
+
+    before, values = counts_of("2001-11-05"), night.feature_values().count()
+    again = Nightly(snapshots, "2001-11-05", 2)  # every stage once more for a date that is there
+    again.features()
+    again.forecasts()
+    again.detection()
+    assert counts_of("2001-11-05") == before and before[1] > before[0] and night.feature_values().count() == values
+    again.index()
