@@ -183,3 +183,13 @@ AUDIT_FIELDS = [
 # --- fixed values: request limits ---------------------------------------------
 RATE_LIMIT_REQUESTS = 120
 RATE_LIMIT_SECONDS = 60
+
+# --- fixed values: answers that refuse ------------------------------------------
+INSUFFICIENT = "I don't have enough information to answer this reliably. Please check with the DA team."
+BLOCKED = (
+    "This request appears to ask for individual patient information, "
+    "which I can't provide. Please ask about aggregated financial metrics."
+)
+
+# --- fixed values: characters that part words ------------------------------------
+BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"

@@ -80,41 +80,38 @@ def percent(value: Column, places: int = 1, signed: bool = False) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words between blanks."""
-    return F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: F.length(w) > 0)
+    """Lower-cased words between blanks of any script."""
+    return F.filter(F.split(F.lower(text), f"[{fv.BLANKS}]+"), lambda w: F.length(w) > 0)
 
 
-def hash_embedding(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """Unit-length hashed bag of words as sparse rows ``(key, bucket, weight)``.
+def _counted(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, cells, norm)``: a text's filled buckets with their counts, 256 at most.
 
     A word falls into bucket ``md5(word) mod 256``, the last byte of its digest.
     Counting is map-side first, so at most 256 rows per text are shuffled
     however long the text is, and one text never has to fit in one row.
     """
-    digest = F.md5("word")
-    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
-    bucket = digit(31) * 16 + digit(32)
+    bucket = F.conv(F.substring(F.md5("word"), 31, 2), 16, 10).cast("int")
     counts = (
         frame.select(key, F.explode(words(F.col(text))).alias("word"))
         .select(key, bucket.alias("bucket"))
         .groupBy(key, "bucket")
         .agg(F.count("*").alias("n"))
     )
-    norms = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda total, cell: total + cell["n"] * cell["n"]))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda total, cell: total + cell["n"] * cell["n"]))
+    return counts.groupBy(key).agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).withColumn("norm", norm)
+
+
+def hash_embedding(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """Unit-length hashed bag of words as sparse rows ``(key, bucket, weight)``."""
     return (
-        counts.groupBy(key)
-        .agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
-        .withColumn("norm", norms)
-        .select(key, F.inline("cells"), "norm")
+        _counted(frame, key, text).select(key, F.inline("cells"), "norm")
         .select(key, "bucket", "n", (F.col("n") / F.col("norm")).alias("weight"))
-    )
+    )
 
 
 def embed_text(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """The same embedding as one dense ``array<double>`` per key."""
-    sparse = hash_embedding(frame, key, text)
-    cells = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("cells"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(fv.EMBEDDING_DIM - 1)), lambda b: F.coalesce(F.col("cells")[b], F.lit(0.0))
-    )
-    return cells.select(key, dense.alias("vector"))
+    """The same embedding as one dense ``array<double>`` per key, from the same gathered cells."""
+    cells = _counted(frame, key, text).withColumn("cells", F.map_from_entries("cells"))
+    weight = lambda b: F.coalesce(F.col("cells")[b] / F.col("norm"), F.lit(0.0))
+    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(fv.EMBEDDING_DIM - 1)), weight).alias("vector"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +21,9 @@ from ledgerwind.functions.text import (
     title_case,
     whole_plain,
 )
-from ledgerwind.operators.alerts import list_alerts
 from ledgerwind.session import materialise
 
-SMALL_ROWS = 10_000
 BLOCK_ROWS = 8192
-DICTIONARY_NAMES = 1000
-INSUFFICIENT = "I don't have enough information to answer this reliably. Please check with the DA team."
-BLOCKED = (
-    "This request appears to ask for individual patient information, "
-    "which I can't provide. Please ask about aggregated financial metrics."
-)
 
 
 def _document(doc_id: Column, entity_type: Column, entity_id: Column, date: Column, text: Column, **metadata: Column) -> list[Column]:
@@ -43,7 +35,7 @@ def _document(doc_id: Column, entity_type: Column, entity_id: Column, date: Colu
 
 
 def build_corpus(facility: DataFrame, attorney: DataFrame, forecasts30: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Documents from the latest features, 30-day forecasts and newest alerts.
+    """Documents from the latest features, 30-day forecasts and all alerts given.
 
     Only aggregates are described; nothing about a single patient is indexed.
     """
@@ -91,7 +83,7 @@ def build_corpus(facility: DataFrame, attorney: DataFrame, forecasts30: DataFram
     )
     raised = F.date_format("created_at", "yyyy-MM-dd")
     again = F.row_number().over(Window.partitionBy("entity_id", F.to_date("created_at")).orderBy("alert_id"))
-    newest = list_alerts(alerts, limit=fv.ALERT_DOCUMENTS).withColumn("_copy", again)
+    newest = alerts.withColumn("_copy", again)
     suffix = F.when(F.col("_copy") > 1, F.concat(F.lit("_"), F.col("_copy").cast("string"))).otherwise("")
     alert_docs = newest.select(
         *_document(
@@ -135,26 +127,14 @@ def from_record(records: DataFrame) -> DataFrame:
     )
 
 
-def match_entities(questions: DataFrame, entities: DataFrame, dictionary_limit: int = DICTIONARY_NAMES) -> DataFrame:
+def match_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """Longest entity name contained in each question: ``(question_id, entity_filter)``.
 
-    A dictionary below the limit is tested inside each row.  A larger one is met
-    by an exact equi-join: every substring of the question whose length is some
-    name's length is looked up, so no question is paired with every name.
+    Names are met by an exact equi-join: every substring of the question whose length
+    is some name's length is looked up, so no question is paired with every name.
     """
     names = entities.select("entity_id", normalise_entity(F.col("entity_id")).alias("_name")).filter("_name <> ''").distinct()
     asked = questions.select("question_id", normalise_entity(F.col("question")).alias("_asked"))
-    known = names.limit(dictionary_limit + 1).collect()
-    if len(known) <= dictionary_limit:
-        listed = F.array(*[
-            F.struct(F.lit(len(r._name)).alias("size"), F.lit(r.entity_id).alias("entity_id"), F.lit(r._name).alias("name"))
-            for r in known
-        ])
-        if not known:
-            return asked.select("question_id", F.lit(None).cast("string").alias("entity_filter")).filter(F.lit(False))
-        inside = F.filter(listed, lambda e: F.contains(F.col("_asked"), e["name"]))
-        longest = asked.select("question_id", F.array_max(inside).alias("_best")).filter("_best is not null")
-        return longest.select("question_id", F.col("_best.entity_id").alias("entity_filter"))
     sizes = names.agg(F.collect_set(F.length("_name"))).scalar()
     at_size = asked.select("question_id", "_asked", F.explode(sizes).alias("_size")).filter(F.length("_asked") >= F.col("_size"))
     pieces = F.array_distinct(
@@ -173,73 +153,66 @@ _HIT = "question_id string, doc_id string, score double"
 _ROWS_AT_ONCE = 256
 
 
-def _best(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exact top ``k`` of every question over the documents at hand."""
-    parts = []
-    held = held.sort_values("doc_id", kind="stable")
-    for entity, group in asked.groupby("entity_filter", dropna=False):
-        mine = held if pd.isna(entity) else held[held.entity_id == entity]
-        if mine.empty:
-            continue
-        d = np.vstack(mine.vector.to_numpy()).astype(float)
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.array(vectors.to_pylist(), dtype=float).reshape(len(vectors), -1)
+
+
+def _best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """Exact top ``k`` of every question over the documents of one block."""
+    questions, documents, scores = [], [], []
+    if len(asked) and len(held):
+        held = held.sort_by("doc_id")
+        d, names = _matrix(held.column("vector")), held.column("doc_id").to_pylist()
         d_length = np.linalg.norm(d, axis=1)
-        ids = mine.doc_id.to_numpy()
-        for start in range(0, len(group), _ROWS_AT_ONCE):
-            some = group.iloc[start : start + _ROWS_AT_ONCE]
-            q = np.vstack(some.vector.to_numpy()).astype(float)
+        for start in range(0, len(asked), _ROWS_AT_ONCE):
+            some = asked.slice(start, _ROWS_AT_ONCE)
+            q = _matrix(some.column("vector"))
             lengths = np.linalg.norm(q, axis=1)[:, None] * d_length[None, :]
             # rounded so that equal texts tie exactly and the id decides
-            scores = np.round((q @ d.T) / (lengths + 1e-9), 9)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "question_id": np.repeat(some.question_id.to_numpy(), best.shape[1]),
-                        "doc_id": ids[best.ravel()],
-                        "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                    }
-                )
-            )
-    return pd.concat(parts) if parts else pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
+            cosines = np.round((q @ d.T) / (lengths + 1e-9), 9)
+            best = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
+            for row, question in enumerate(some.column("question_id").to_pylist()):
+                questions += [question] * best.shape[1]
+                documents += [names[i] for i in best[row]]
+                scores += cosines[row, best[row]].tolist()
+    return pa.table({"question_id": pa.array(questions, pa.string()), "doc_id": pa.array(documents, pa.string()), "score": pa.array(scores, pa.float64())})
 
 
-def _fits(rows: DataFrame, limit: int) -> bool:
-    return rows.select(F.lit(1)).limit(limit + 1).count() <= limit
+def _length(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
 
 
 def search(
-    questions: DataFrame,
-    documents: DataFrame,
-    k: int = fv.TOP_K,
-    fall_back: bool = True,
-    small_rows: int = SMALL_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    questions: DataFrame, documents: DataFrame, k: int = fv.TOP_K, fall_back: bool = True, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Exact cosine top ``k`` per question: ``(question_id, doc_id, score, rank)``.
 
     ``questions`` carry ``question_id``, ``vector`` and ``entity_filter`` (null
     for all documents); ``documents`` carry ``doc_id``, ``vector`` and
-    ``entity_id``.  A side counted to be at most ``small_rows`` travels to the
-    other side's tasks, which then needs no shuffle.  When both are larger, they
-    are cut into blocks of bounded size and each pair of blocks is one matrix
-    product that keeps its ``k`` best per question.  With ``fall_back`` a filter
-    that no document satisfies is ignored.
+    ``entity_id``.  A question with a filter meets its entity's documents by an
+    equi-join.  Those without one meet all documents as blocks of bounded size:
+    each pair of blocks is one matrix product that keeps its ``k`` best per
+    question.  With ``fall_back`` a filter that no document satisfies is ignored.
     """
-    asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "vector", "entity_filter")
-    held = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "vector", "entity_id")
+    asked = questions.select(
+        F.col("question_id").cast("string").alias("question_id"), F.col("vector").cast("array<double>").alias("vector"), "entity_filter"
+    )
+    held = documents.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"), "entity_id"
+    )
     if fall_back:
         present = held.select(F.col("entity_id").alias("entity_filter"), F.lit(True).alias("_known")).distinct()
         known = asked.join(present, "entity_filter", "left")
         asked = known.select("question_id", "vector", F.when(F.col("_known"), F.col("entity_filter")).alias("entity_filter"))
-    context = questions.sparkSession.sparkContext
-    if _fits(held, small_rows):
-        few = context.broadcast(held.toPandas())
-        partial = asked.mapInPandas(lambda batches: (_best(b, few.value, k) for b in batches), _HIT)
-    elif _fits(asked, small_rows):
-        few = context.broadcast(asked.toPandas())
-        partial = held.mapInPandas(lambda batches: (_best(few.value, b, k) for b in batches), _HIT)
-    else:
-        partial = _search_blocks(asked, held, k, block_rows)
+    asked = materialise(asked, "asked")
+    mine = asked.filter("entity_filter is not null").select("question_id", F.col("vector").alias("q"), _length("vector").alias("ql"), "entity_filter")
+    theirs = held.select("doc_id", F.col("vector").alias("d"), _length("vector").alias("dl"), "entity_id")
+    product = F.aggregate(F.zip_with("q", "d", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    # rounded so that equal texts tie exactly and the id decides
+    scored = mine.join(theirs, mine.entity_filter == theirs.entity_id).select(
+        "question_id", "doc_id", F.round(product / (F.col("ql") * F.col("dl") + 1e-9), 9).alias("score")
+    )
+    partial = scored.unionByName(_search_blocks(asked.filter("entity_filter is null"), held, k, block_rows))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -252,7 +225,7 @@ def _search_blocks(asked: DataFrame, held: DataFrame, k: int, block_rows: int) -
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = asked.select("*", own("question_id", n_asked).alias("qb"), every(n_held).alias("db"))
     right = held.select("*", own("doc_id", n_held).alias("db"), every(n_asked).alias("qb"))
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(lambda a, h: _best(a, h, k), _HIT)
+    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(lambda a, h: _best(a, h, k), _HIT)
 
 
 def screen(questions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -322,13 +295,14 @@ def answer(screened: DataFrame, hits: DataFrame, index: DataFrame, context_k: in
     judged = joined.withColumn("reason", gate_reason()).withColumn("grounded", F.col("reason").isin(*GROUNDED))
     top = F.col("hits")[0]
     extract = F.concat(top["text"], F.lit(" [Source: "), top["source_doc_id"], F.lit(", "), day(top), F.lit("]"))
-    raw = F.when(F.col("grounded"), extract).when(F.col("phi_label").isNotNull(), BLOCKED).otherwise(INSUFFICIENT)
+    raw = F.when(F.col("grounded"), extract).when(F.col("phi_label").isNotNull(), fv.BLOCKED).otherwise(fv.INSUFFICIENT)
     nothing = F.array()
     staged = judged.withColumns(
         {
             "raw_answer": raw,
             "context": F.when(F.col("grounded"), F.array_join(F.transform("hits", line), "\n")),
             "citations": F.when(F.col("grounded"), F.transform("hits", cite)),
+            "sources": F.coalesce(F.transform("hits", lambda h: h["source_doc_id"]), F.array().cast("array<string>")),
         }
     )
     scanned = phi.scan_output(staged, "raw_answer")
@@ -344,6 +318,7 @@ def answer(screened: DataFrame, hits: DataFrame, index: DataFrame, context_k: in
         F.col("phi_detected").alias("phi_redacted"),
         "phi_matches",
         "context",
+        "sources",
         F.coalesce("citations", nothing.cast(staged.schema["citations"].dataType)).alias("citations"),
     )
 

@@ -492,7 +492,7 @@ FROM entities_v e
 
 view("corpus_alerts_v", """
 SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY alert_id) AS copy
-FROM (SELECT * FROM alerts_v ORDER BY created_at DESC, alert_id LIMIT 100)
+FROM alerts_v
 """)
 
 view("corpus_v", f"""
@@ -521,11 +521,11 @@ FROM corpus_alerts_v
 
 view("doc_words_v", r"""
 SELECT source_doc_id, CAST('0x' || right(md5(w), 2) AS INTEGER) AS bucket, CAST(count(*) AS DOUBLE) AS n
-FROM (SELECT source_doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+')) AS w FROM corpus_v) WHERE w <> '' GROUP BY ALL
+FROM (SELECT source_doc_id, unnest(regexp_split_to_array(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS w FROM corpus_v) WHERE w <> '' GROUP BY ALL
 """)
 view("question_words_v", r"""
 SELECT question_id, CAST('0x' || right(md5(w), 2) AS INTEGER) AS bucket, CAST(count(*) AS DOUBLE) AS n
-FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question), '[ \t\n\r\f\x0B]+')) AS w FROM questions_v) WHERE w <> '' GROUP BY ALL
+FROM (SELECT question_id, unnest(regexp_split_to_array(lower(question), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS w FROM questions_v) WHERE w <> '' GROUP BY ALL
 """)
 view("doc_norm_v", "SELECT source_doc_id, sqrt(sum(n * n)) AS norm FROM doc_words_v GROUP BY ALL")
 view("question_norm_v", "SELECT question_id, sqrt(sum(n * n)) AS norm FROM question_words_v GROUP BY ALL")

@@ -174,9 +174,15 @@ def _context(lake: Lake) -> DataFrame:
 
 @register(
     "answer_audit",
-    """SELECT question_id AS session_id, CASE WHEN reason IN ('entity_filter_match', 'threshold_passed') THEN 'answer'
-              WHEN reason = 'input_phi_blocked' THEN 'PHI_DETECTED_INPUT' ELSE 'insufficient' END AS action, sha256(question) AS query_hash,
-              CASE WHEN reason = 'input_phi_blocked' THEN 'blocked' ELSE 'clean' END AS input_phi_scan FROM gated_v""",
+    f"""SELECT question_id AS session_id, CASE WHEN reason IN ('entity_filter_match', 'threshold_passed') THEN 'answer'
+              WHEN reason = 'input_phi_blocked' THEN 'PHI_DETECTED_INPUT' ELSE 'insufficient' END AS action,
+              CASE WHEN reason <> 'input_phi_blocked' THEN sha256(question) END AS query_hash,
+              CASE WHEN reason = 'input_phi_blocked' THEN 'blocked' ELSE 'clean' END AS input_phi_scan,
+              CASE WHEN phi_redacted THEN 'redacted' ELSE 'clean' END AS output_phi_scan,
+              coalesce(sources, '[]') AS retrieved_sources
+       FROM gated_v JOIN ({_answers_check()}) USING (question_id)
+       LEFT JOIN (SELECT question_id, CAST(to_json(list(source_doc_id ORDER BY rank)) AS VARCHAR) AS sources FROM hits_v WHERE rank <= 4 GROUP BY question_id)
+       USING (question_id)""",
 )
 def _audit(lake: Lake) -> DataFrame:
     rows = answers(lake)
@@ -188,12 +194,12 @@ def _audit(lake: Lake) -> DataFrame:
         session_id=F.col("question_id"),
         service=F.lit("chatbot"),
         action=action,
-        query_hash=F.sha2("question", 256),
+        query_hash=F.when(~F.col("blocked"), F.sha2("question", 256)),
         input_phi_scan=F.when(F.col("blocked"), "blocked").otherwise("clean"),
         output_phi_scan=F.when(F.col("phi_redacted"), "redacted").otherwise("clean"),
-        retrieved_sources=F.to_json("citations.source_doc_id"),
+        retrieved_sources=F.to_json("sources"),
     )
-    return events.select("session_id", "action", "query_hash", "input_phi_scan")
+    return events.select("session_id", "action", "query_hash", "input_phi_scan", "output_phi_scan", "retrieved_sources")
 
 
 CASES = [

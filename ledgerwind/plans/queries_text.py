@@ -150,7 +150,7 @@ def _cleanup(lake: Lake) -> DataFrame:
     "hash_embedding",
     r"""SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight
         FROM (SELECT doc_id, CAST('0x' || right(md5(word), 2) AS INTEGER) AS bucket, CAST(count(*) AS DOUBLE) AS n
-              FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+')) AS word FROM documents)
+              FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS word FROM documents)
               WHERE word <> '' GROUP BY ALL)""",
 )
 def _embedding(lake: Lake) -> DataFrame:
