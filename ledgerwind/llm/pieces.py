@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from ledgerwind.session import materialise
+from ledgerwind.session import shared_folder
 
 BLANK = "▁"
 BLOCK_BYTES = 32 << 20
+LISTED_BITS = 12  # block numbers that differ in these bits only share a list
 LONGEST = 62  # characters of a unit whose boundaries fit the mask
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -91,6 +93,16 @@ class Model:
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
+    def resolved(self, ids: list[int]) -> list[int]:
+        """``ids`` with the characters among them (-1 minus their code points) given their own ids."""
+        if min(ids, default=0) >= 0:
+            return ids
+        out: list[int] = []
+        for k in ids:
+            char = chr(-1 - k) if k < 0 else ""
+            out += [k] if k >= 0 else [self.ids[char]] if char in self.ids else self.fallback(char)
+        return out
+
     @cached_property
     def units(self) -> re.Pattern[str]:
         """Matches the units of a text: cut where two characters are neighbours in no piece.
@@ -171,80 +183,101 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
-def lattice(units: DataFrame, model: Model, masks: bool) -> DataFrame:
-    """(unit, edges): all pieces inside each unit, and single characters without a piece.
-
-    An edge has its rank, score, start, end, ids and, if ``masks``, its ``ends`` and
-    ``inner`` boundaries as bits.
-    """
-    spark = units.sparkSession
+def _substrings(units: DataFrame, model: Model, least: int) -> DataFrame:
+    """(unit, s, l, part): every substring of ``least`` to the longest piece's characters."""
     size = F.char_length("unit")
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"))
-    parts = spans.withColumn("part", F.substring("unit", F.col("s") + 1, F.col("l")))
-    joined = parts.join(F.broadcast(piece_table(spark, model)), F.col("part") == F.col("piece"), "left").where("id is not null or l = 1")
-    raw = F.hex(F.encode("part", "UTF-8"))
-    octets = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.conv(F.substr(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    if model.byte_ids:
-        first = model.byte_ids[0]
-        if model.byte_ids != list(range(first, first + 256)):
-            raise ValueError("byte pieces must stand in a row")
-        spare = F.transform(octets, lambda b: b + F.lit(first))
-    else:
-        spare = F.array(F.lit(model.unknown))
-    end = F.col("s") + F.col("l")
+    lengths = F.sequence(F.lit(1), F.least(F.lit(model.longest), size - F.col("s")))
+    spans = starts.select("unit", "s", F.explode(lengths).alias("l")).where((F.col("l") >= least) | ((F.col("s") == 0) & (F.col("l") == 1)))
+    return spans.withColumn("part", F.substring("unit", F.col("s") + 1, F.col("l")))
 
-    def bit(n: F.Column) -> F.Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), n) if masks else F.lit(0).cast("long")
 
+def lattice(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, edges): all pieces inside each unit, and single characters without a piece."""
+    joined = _substrings(units, model, 1).join(F.broadcast(piece_table(units.sparkSession, model)), F.col("part") == F.col("piece"), "left")
     lowest = min((p[1] for p in model.pieces if p[2] == NORMAL), default=0.0) - 10.0
     edge = F.struct(
-        F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), F.col("s").cast("int").alias("s"), end.cast("int").alias("e"),
-        bit(F.col("s")).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(F.col("s") + 1)).alias("inner"),
-        F.coalesce("score", F.lit(lowest)).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spare).alias("ids"),
+        (F.col("s") + F.col("l")).alias("e"), F.col("s"), F.coalesce("score", F.lit(lowest)).alias("score"),
+        F.coalesce("id", -1 - F.expr("ascii(part)")).alias("id"),
     )
-    return joined.select("unit", edge.alias("edge")).groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    found = joined.where("id is not null or l = 1").select("unit", edge.alias("edge"))
+    return found.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+
+def merge_lattice(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, edges): the pieces of two and more characters inside each unit, best first.
+
+    An edge is one number: rank, start, end and id in 20, 6, 6 and 20 bits.  A unit
+    without any has an empty list.
+    """
+    joined = _substrings(units, model, 2).join(F.broadcast(piece_table(units.sparkSession, model)), F.col("part") == F.col("piece"), "left")
+    rank, start, end = (F.col(c).cast("long") for c in ("rank", "s", "e"))
+    packed = F.shiftleft(rank, 32).bitwiseOR(F.shiftleft(start, 26)).bitwiseOR(F.shiftleft(end, 20)).bitwiseOR(F.col("id").cast("long"))
+    edge = F.when(F.col("id").isNotNull() & (F.col("l") > 1), packed)
+    found = joined.where("id is not null or l = 1").withColumn("e", F.col("s") + F.col("l")).select("unit", edge.alias("edge"))
+    return found.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))  # nulls are not collected
 
 
-def merge_fold(edges: F.Column, size: F.Column) -> F.Column:
-    """The ids of a unit by the model's merges (BPE)."""
-    joins = F.filter(edges, lambda x: x["inner"] != 0)
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), size + 1) - 1
+def merge_fold(edges: F.Column, unit: F.Column) -> F.Column:
+    """The ids of a unit by the model's merges; what stays a single character is coded."""
+    size = F.char_length(unit)
+
+    def bit(n: F.Column) -> F.Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+    def open_edge(x: F.Column) -> F.Column:
+        s, e = (F.shiftright(x, k).bitwiseAND(F.lit(63).cast("long")).cast("int") for k in (26, 20))
+        return F.struct(
+            s.alias("s"), bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"),
+            x.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int").alias("id"),
+        )
+
+    joins = F.transform(edges, open_edge)
+    full = bit(size + 1) - 1
 
     def step(mask: F.Column, _: F.Column) -> F.Column:
         ready = F.filter(joins, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
-    rounds = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    # each merge takes one boundary, and there are no more merges than edges or inner boundaries
+    rounds = F.when((size > 1) & (F.size(edges) > 0), F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
     mask = F.aggregate(rounds, full, step)
-    left = F.filter(edges, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (mask.bitwiseAND(x["inner"]) == 0))
-    return F.flatten(F.transform(F.array_sort(F.transform(left, lambda x: F.struct(x["s"], x["ids"]))), lambda x: x["ids"]))
+    whole = F.filter(joins, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (mask.bitwiseAND(x["inner"]) == 0))
+    single = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(F.lit(3).cast("long") * bit(i)) == F.lit(3).cast("long") * bit(i))
+    parts = F.concat(
+        F.transform(whole, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))),
+        F.transform(single, lambda i: F.struct(i.alias("s"), (-1 - F.call_function("ascii", F.substr(unit, i + 1, F.lit(1)))).alias("id"))),
+    )
+    return F.transform(F.array_sort(parts), lambda x: x["id"])
 
 
 def viterbi_fold(edges: F.Column, size: F.Column) -> F.Column:
     """The ids of a unit on the path of the best sum of scores (unigram); the first of equals."""
-    by_end = F.array_sort(F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"), x["ids"].alias("ids"))))
     kind = "array<struct<score:double,ids:array<int>>>"
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(kind)
 
     def step(best: F.Column, x: F.Column) -> F.Column:
         here = F.get(best, x["s"])
         score, old = here["score"] + x["score"], F.get(best, x["e"])
-        new = F.struct(score.alias("score"), F.concat(here["ids"], x["ids"]).alias("ids"))
+        new = F.struct(score.alias("score"), F.concat(here["ids"], F.array(x["id"])).alias("ids"))
         # edges come by their end, so the list grows by one or its last entry is replaced
         longer = F.concat(best, F.array(new))
         replaced = F.concat(F.slice(best, F.lit(1), x["e"]), F.array(new))
         return F.when(F.size(best) == x["e"], longer).when(score > old["score"], replaced).otherwise(best).cast(kind)
 
-    return F.get(F.aggregate(by_end, start, step), size)["ids"]
+    return F.get(F.aggregate(edges, start, step), size)["ids"]
 
 
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) of the rows of ``units``, which are different and not empty."""
-    short = units.where(F.char_length("unit") <= LONGEST)
+    """(unit, ids) of the rows of ``units``, which are different and not empty.
+
+    A character that was not merged stands as -1 minus its code point; ``Model.resolved``
+    gives the ids of its own piece or of its bytes.
+    """
     if model.kind != BPE:
-        return lattice(units, model, False).select("unit", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
-    found = lattice(short, model, True).select("unit", merge_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
+        return lattice(units, model).select("unit", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
+    short = units.where(F.char_length("unit") <= LONGEST)
+    found = merge_lattice(short, model).select("unit", merge_fold(F.col("edges"), F.col("unit")).alias("ids"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,7 +293,7 @@ def _pack(text: str):
 
         def flush() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
                 for part in held:
                     writer.write_batch(part)
             return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
@@ -286,6 +319,16 @@ def _unpacked(value: bytes) -> Iterator[pa.RecordBatch]:
         yield from reader
 
 
+def _stored(packed: DataFrame) -> DataFrame:
+    """The blocks written once to the shared folder, bucketed, so that no join moves them again."""
+    spark = packed.sparkSession
+    name = f"piece_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stages/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.write.bucketBy(buckets, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with ``pieces`` (ids) and ``round_trip``.
 
@@ -316,7 +359,8 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
                 known: dict[str, list[int]] = {}
                 items = batch.column("items")[row]
                 if items.is_valid:
-                    known = dict(zip(items.values.field("unit").to_pylist(), items.values.field("ids").to_pylist(), strict=True))
+                    values = map(model.resolved, items.values.field("ids").to_pylist())
+                    known = dict(zip(items.values.field("unit").to_pylist(), values, strict=True))
                 for part in _unpacked(batch.column("packed")[row].as_py()):
                     texts = [t or "" for t in part.column(text).to_pylist()]
                     ids = [[k for unit in find(model.escaped(t)) for k in known[unit]] for t in texts]
@@ -325,12 +369,14 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
                         [*(part.column(n) for n in kept), pa.array(ids, pa.list_(pa.int32())), same], names=[*kept, "pieces", "round_trip"]
                     )
 
-    blocks = materialise(docs.mapInArrow(_pack(text), "packed binary").withColumn("block", F.monotonically_increasing_id()), "piece-blocks")
-    pairs = materialise(blocks.repartition("block").mapInArrow(cut, "block long, unit string"), "piece-units")
-    known = materialise(encoded_units(pairs.select("unit").distinct(), model), "piece-ids").withColumnRenamed("unit", "of")
-    # one block's units: bounded by the block's bytes
-    mine = pairs.join(known, pairs["unit"] == known["of"]).groupBy("block").agg(F.collect_list(F.struct("unit", "ids")).alias("items"))
-    mine = mine.withColumnRenamed("block", "at")
+    packed = docs.mapInArrow(_pack(text), "packed binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = _stored(packed)
+    pairs = blocks.repartition("block").mapInArrow(cut, "block long, unit string").repartition("unit")
+    # a unit's list of blocks is bounded: it has a row for every 2 ** LISTED_BITS numbers
+    listed = pairs.groupBy("unit", F.shiftright("block", LISTED_BITS).alias("some")).agg(F.collect_set("block").alias("blocks"))
+    known = encoded_units(listed.select("unit").distinct(), model).withColumnRenamed("unit", "of")
+    told = listed.join(known, listed["unit"] == known["of"]).select(F.explode("blocks").alias("at"), F.struct("unit", "ids").alias("item"))
+    mine = told.groupBy("at").agg(F.collect_list("item").alias("items"))  # one block's units: bounded by the block's bytes
     joined = blocks.join(mine, blocks["block"] == mine["at"], "left").select("packed", "items")
     added = [StructField("pieces", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
     schema = StructType([*(docs.schema[n] for n in kept), *added])
