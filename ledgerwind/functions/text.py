@@ -84,6 +84,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), f"[{fv.BLANKS}]+"), lambda w: F.length(w) > 0)
 
 
+def chunks(frame: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
+    """``(key, chunk, n_words, chunk_text)``: runs of ``size`` words, each sharing ``overlap`` with the one before.
+
+    The last chunk ends with the text; one that would only repeat the overlap is left
+    out.  Texts without words have none.
+    """
+    found = F.filter(F.split(F.col(text), f"[{fv.BLANKS}]+"), lambda w: F.length(w) > 0)
+    last = F.greatest(F.size("_words") - overlap - 1, F.lit(0))
+    cut = frame.select(key, found.alias("_words")).filter(F.size("_words") > 0).select(
+        key, "_words", F.posexplode(F.sequence(F.lit(0), last, F.lit(size - overlap))).alias("chunk", "_start")
+    )
+    part = F.slice("_words", F.col("_start") + 1, F.lit(size))
+    return cut.select(key, "chunk", F.size(part).alias("n_words"), F.array_join(part, " ").alias("chunk_text"))
+
+
 def _counted(frame: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, cells, norm)``: a text's filled buckets with their counts, 256 at most.
 

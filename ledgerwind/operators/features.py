@@ -167,7 +167,7 @@ def settlement_pipeline(settlements: DataFrame, as_of: Column | None = None) ->
     to ``as_of``, by default the last opening or closing.
     """
     keys = ["attorney_id", "case_type"]
-    large = (F.col("settlement_amount") > fv.HIGH_VALUE_SETTLEMENT).cast("bigint")
+    large = F.coalesce((F.col("settlement_amount") > fv.HIGH_VALUE_SETTLEMENT).cast("bigint"), F.lit(0))
     days = F.datediff("close_date", "open_date")
 
     def change(day, opened, closed):

@@ -10,6 +10,7 @@ from ledgerwind.functions.numeric import rounded
 from ledgerwind.operators import features as ft
 from ledgerwind.operators.timeseries import densify, rolling_sum
 from ledgerwind.plans.catalog import register
+from ledgerwind.plans.oracle_views import VIEWS, view
 from ledgerwind.sources import business
 from ledgerwind.sources.tables import Lake
 
@@ -165,6 +166,26 @@ def _settlements(lake: Lake) -> DataFrame:
     return rounded(settlement_features(lake), {"avg_days_to_settlement_90d": 6, "settlement_velocity_change_30d": 6})
 
 
+# amounts that are missing: two of three settlements have none, so most days lack any
+view("settlements_null_v", "SELECT * REPLACE (CASE WHEN settlement_id % 3 = 0 THEN settlement_amount END AS settlement_amount) FROM settlements_v")
+for _name in ("settlement_grid_v", "settlement_features_v"):
+    view(_name.replace("_v", "_null_v"), VIEWS[_name].replace("settlements_v", "settlements_null_v").replace("settlement_grid_v", "settlement_grid_null_v"))
+
+
+@register(
+    "settlement_features_missing_amounts",
+    """SELECT attorney_id, case_type, event_date, open_settlements_count, settlements_closed_30d,
+              round(avg_days_to_settlement_90d, 6) AS avg_days_to_settlement_90d,
+              round(settlement_velocity_change_30d, 6) AS settlement_velocity_change_30d, high_value_open_count
+       FROM settlement_features_null_v""",
+)
+def _settlements_missing(lake: Lake) -> DataFrame:
+    rows = business.settlements(lake)
+    amount = F.when(F.col("settlement_id") % 3 == 0, F.col("settlement_amount"))
+    features = ft.settlement_pipeline(rows.withColumn("settlement_amount", amount))
+    return rounded(features, {"avg_days_to_settlement_90d": 6, "settlement_velocity_change_30d": 6})
+
+
 LETTER_COLUMNS = ("facility_id", "issued_date", "returned_date", "status")
 
 

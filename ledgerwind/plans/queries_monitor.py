@@ -37,7 +37,7 @@ FROM drift_aged_v JOIN drift_edges_v USING (facility_id, feature) WHERE age < 60
 
 @register(
     "feature_drift",
-    """SELECT facility_id, feature, round(sum((q - p) * ln(q / p)), 6) AS psi, sum((q - p) * ln(q / p)) > 0.2 AS drifting
+    """SELECT facility_id, feature, round(sum((q - p) * ln(q / p)), 6) AS psi, round(sum(q * ln(q / p)), 6) AS kl, sum((q - p) * ln(q / p)) > 0.2 AS drifting
        FROM (SELECT facility_id, feature, greatest(p / sum(p) OVER w, 1e-4) AS p, greatest(q / sum(q) OVER w, 1e-4) AS q
              FROM drift_bins_v WINDOW w AS (PARTITION BY facility_id, feature)) GROUP BY ALL""",
 )
@@ -49,7 +49,7 @@ def _psi(lake: Lake) -> DataFrame:
     aged = qf.facility_features(lake).withColumn("_age", F.datediff(last, "event_date")).filter("_age < 60")
     rows = aged.select("facility_id", (F.col("_age") >= 30).alias("baseline"), F.inline(cells))
     scored = monitor.stability_index(rows, ["facility_id", "feature"], "baseline")
-    return scored.select("facility_id", "feature", F.round("psi", 6).alias("psi"), (F.col("psi") > monitor.PSI_BAR).alias("drifting"))
+    return scored.select("facility_id", "feature", F.round("psi", 6).alias("psi"), F.round("kl", 6).alias("kl"), (F.col("psi") > monitor.PSI_BAR).alias("drifting"))
 
 
 view("errors_v", """
@@ -254,3 +254,30 @@ def _visit_cusum(lake: Lake) -> DataFrame:
     weekly = fc.dense_series(daily).withColumn("y", trailing_count("y", fc.ENTITY, "ds", 6).cast("double"))
     scored = detect.cusum_scores(weekly).select(*fc.ENTITY, "expected", "actual", "score")
     return rounded(scored, {"expected": 6, "actual": 4, "score": 6})
+
+
+# settlements opened in the trailing week, as the same chart
+view("settlement_series_v", """
+SELECT 'attorney' AS entity_type, attorney_id AS entity_id, d, row_number() OVER (PARTITION BY attorney_id ORDER BY d) - 1 AS t,
+       count(*) OVER (PARTITION BY attorney_id) AS n, sum(coalesce(k, 0)) OVER (PARTITION BY attorney_id ORDER BY d ROWS 6 PRECEDING) AS y
+FROM (SELECT g.attorney_id, g.d, v.k FROM (SELECT attorney_id, CAST(unnest(generate_series(min(open_date), max(open_date), INTERVAL 1 DAY)) AS DATE) AS d FROM settlements_v GROUP BY attorney_id) g
+      LEFT JOIN (SELECT attorney_id, open_date AS d, CAST(count(*) AS DOUBLE) AS k FROM settlements_v GROUP BY ALL) v ON v.attorney_id = g.attorney_id AND v.d = g.d)
+""")
+for _name in ("cusum_ref_v", "cusum_z_v", "cusum_walk_v", "cusum_v"):
+    _text = VIEWS[_name].replace("dense3_v", "settlement_series_v")
+    for _other in ("cusum_ref_v", "cusum_z_v", "cusum_walk_v", "cusum_v"):
+        _text = _text.replace(_other, f"settlement_{_other}")
+    view(f"settlement_{_name}", _text)
+
+
+@register(
+    "settlement_cusum",
+    "SELECT entity_type, entity_id, round(expected, 6) AS expected, round(actual, 4) AS actual, round(score, 6) AS score FROM settlement_cusum_v",
+)
+def _settlement_cusum(lake: Lake) -> DataFrame:
+    daily = business.settlements(lake).groupBy(
+        F.lit("attorney").alias("entity_type"), F.col("attorney_id").alias("entity_id"), F.col("open_date").alias("ds")
+    ).agg(F.count("*").cast("double").alias("y"))
+    weekly = fc.dense_series(daily).withColumn("y", trailing_count("y", fc.ENTITY, "ds", 6).cast("double"))
+    scored = detect.cusum_scores(weekly).select(*fc.ENTITY, "expected", "actual", "score")
+    return rounded(scored, {"expected": 6, "actual": 4, "score": 6})

@@ -157,3 +157,54 @@ def _embedding(lake: Lake) -> DataFrame:
     return text.hash_embedding(lake.spread("documents"), "doc_id", "text").select(
         "doc_id", "bucket", F.round("weight", 9).alias("weight")
     )
+
+
+# --- real texts: every turn of every conversation and every document -----------------
+_TEXTS = """(SELECT concat('t-', conv_id, '-', turn) AS text_id, text FROM conversations
+   UNION ALL SELECT concat('d-', doc_id), text FROM documents)"""
+
+
+def _texts(lake: Lake) -> DataFrame:
+    turns = lake.table("conversations").select(F.concat(F.lit("t-"), "conv_id", F.lit("-"), "turn").alias("text_id"), "text")
+    return turns.unionByName(lake.table("documents").select(F.concat(F.lit("d-"), "doc_id").alias("text_id"), "text"))
+
+
+@register(
+    "text_screening",
+    f"""SELECT text_id, {scan_sql('text')} AS label, regexp_matches(lower(text), '{"|".join(fv.MUTATION_PATTERNS)}') AS mutates,
+               list_has_any(string_split({normal_sql('text')}, ' '), {literal_list(fv.DOMAIN_TERMS)}) AS relevant FROM {_TEXTS}""",
+)
+def _screening(lake: Lake) -> DataFrame:
+    """Input scan, mutation phrases and domain relevance over whole real texts."""
+    body = F.col("text")
+    return _texts(lake).select(
+        "text_id", phi.scan_input(body).alias("label"), text.asks_to_mutate(body).alias("mutates"), text.is_domain_question(body).alias("relevant")
+    )
+
+
+@register(
+    "phi_redact_turns",
+    f"""SELECT text_id, len(labels || names) > 0 AS phi_detected, array_to_string(labels || names, '|') AS matches,
+               list_reduce([cleaned] || list_distinct(names), lambda body, name: replace(body, name, '{fv.REDACTED}')) AS redacted_text
+        FROM (SELECT text_id, labels, cleaned, {names_sql('cleaned')} AS names
+              FROM (SELECT concat('t-', conv_id, '-', turn) AS text_id, {cleaned_sql('text')} AS cleaned, CAST({_LABELS} AS VARCHAR[]) AS labels FROM conversations))""",
+)
+def _redact_turns(lake: Lake) -> DataFrame:
+    rows = lake.table("conversations").select(F.concat(F.lit("t-"), "conv_id", F.lit("-"), "turn").alias("text_id"), "text")
+    return phi.scan_output(rows, "text").select("text_id", "phi_detected", F.array_join("phi_matches", "|").alias("matches"), "redacted_text")
+
+
+CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
+_BLANKS_SQL = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@register(
+    "text_chunks",
+    f"""SELECT doc_id, CAST(start // {CHUNK_WORDS - CHUNK_OVERLAP} AS INTEGER) AS chunk, CAST(least({CHUNK_WORDS}, len(w) - start) AS INTEGER) AS n_words,
+               sha256(array_to_string(w[start + 1:start + {CHUNK_WORDS}], ' ')) AS chunk_hash
+        FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {CHUNK_OVERLAP}, 1), {CHUNK_WORDS - CHUNK_OVERLAP})) AS start
+              FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{_BLANKS_SQL}'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0)""",
+)
+def _chunks(lake: Lake) -> DataFrame:
+    rows = text.chunks(lake.table("documents"), "doc_id", "text", CHUNK_WORDS, CHUNK_OVERLAP)
+    return rows.select("doc_id", "chunk", "n_words", F.sha2("chunk_text", 256).alias("chunk_hash"))

@@ -55,6 +55,14 @@ def test_to_date_growth_never_looks_ahead(spark):
     assert short.select(*keep).exceptAll(longer.select(*keep)).isEmpty()
 
 
+def test_weekly_grid_keeps_dates_without_amounts(spark):
+    opened = [(dt.date(2026, 1, 1), 5.0), (dt.date(2026, 1, 5), 7.0), (dt.date(2026, 3, 30), None)]
+    rows = [("s", "a", "PI", d, None, x, "open") for d, x in opened]
+    schema = "settlement_id string, attorney_id string, case_type string, open_date date, close_date date, settlement_amount double, settlement_status string"
+    got = features.settlement_pipeline(spark.createDataFrame(rows, schema)).orderBy("event_date").collect()
+    assert len(got) == 13 and got[-1].event_date == dt.date(2026, 3, 26) and got[-1].high_value_open_count == 0
+
+
 def test_aging_migration_lags_four_rows(spark):
     rows = [("a", "f", *[10.0] * 4, float(10 * i), DAY + dt.timedelta(days=7 * i)) for i in range(6)]
     schema = "attorney_id string, facility_id string, " + ", ".join(f"{b} double" for b in fv.AGING_BUCKETS) + ", report_date date"
