@@ -1,14 +1,14 @@
 """Masking, scanning and redaction of personal data as column expressions.
 
-Everything is built from SQL functions, so it stays inside the JVM and inside
-whatever stage the text is already in; nothing here shuffles.
+Everything is built from SQL functions, so it stays inside whatever stage the text
+is already in; nothing here shuffles.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwind import fixed_values as fv
@@ -19,13 +19,18 @@ _BLOCK = 64
 
 
 def hmac_sha256(value: Column, key: str) -> Column:
-    """Keyed SHA-256 (RFC 2104) as lower-case hex, from two plain digests."""
+    """Keyed SHA-256 (RFC 2104) as lower-case hex, from two plain digests.
+
+    The padded key reaches the tasks as the value of a one-row frame, read once when
+    the query runs; plans and event logs name the frame, never what it holds.
+    """
     secret = key.encode()
     if len(secret) > _BLOCK:
         secret = hashlib.sha256(secret).digest()
     secret = secret.ljust(_BLOCK, b"\0")
-    inner_pad = F.unhex(F.lit(bytes(b ^ 0x36 for b in secret).hex()))
-    outer_pad = F.unhex(F.lit(bytes(b ^ 0x5C for b in secret).hex()))
+    pads = (bytearray(b ^ 0x36 for b in secret), bytearray(b ^ 0x5C for b in secret))
+    held = SparkSession.active().createDataFrame([pads], "inner_pad binary, outer_pad binary")
+    inner_pad, outer_pad = held.select("inner_pad").scalar(), held.select("outer_pad").scalar()
     inner = F.unhex(F.sha2(F.concat(inner_pad, F.encode(value, "UTF-8")), 256))
     return F.sha2(F.concat(outer_pad, inner), 256)
 

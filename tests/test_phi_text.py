@@ -79,3 +79,16 @@ def test_embedding_equals_python(spark):
         want[int(hashlib.md5(word.encode()).hexdigest(), 16) % 256] += 1
     norm = sum(w * w for w in want) ** 0.5
     assert row.vector == pytest.approx([w / norm for w in want])
+
+
+def test_key_is_in_no_plan(spark, capsys):
+    key = "a-secret-key-of-some-length"
+    frame = spark.createDataFrame([("x",)], "v string").select(phi.tokenize(F.col("v"), key).alias("t"))
+    frame.collect()
+    frame.explain("extended")
+    frame.explain("formatted")
+    shown = capsys.readouterr().out.lower()
+    for pad in (0x36, 0x5C):
+        raw = bytes(b ^ pad for b in key.encode())
+        assert raw.hex() not in shown and raw.decode("latin-1").lower() not in shown
+    assert key not in shown
