@@ -240,7 +240,8 @@ def merge_fold(edges: F.Column, unit: F.Column) -> F.Column:
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
     # each merge takes one boundary, and there are no more merges than edges or inner boundaries
-    rounds = F.when((size > 1) & (F.size(edges) > 0), F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    most = F.least(size - 1, F.size(edges))
+    rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
     mask = F.aggregate(rounds, full, step)
     whole = F.filter(joins, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (mask.bitwiseAND(x["inner"]) == 0))
     single = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(F.lit(3).cast("long") * bit(i)) == F.lit(3).cast("long") * bit(i))
@@ -371,7 +372,9 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
 
     packed = docs.mapInArrow(_pack(text), "packed binary").withColumn("block", F.monotonically_increasing_id())
     blocks = _stored(packed)
-    pairs = blocks.repartition("block").mapInArrow(cut, "block long, unit string").repartition("unit")
+    # a fixed number of partitions: the work per unit is large for its bytes
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = blocks.mapInArrow(cut, "block long, unit string").repartition(width, "unit")
     # a unit's list of blocks is bounded: it has a row for every 2 ** LISTED_BITS numbers
     listed = pairs.groupBy("unit", F.shiftright("block", LISTED_BITS).alias("some")).agg(F.collect_set("block").alias("blocks"))
     known = encoded_units(listed.select("unit").distinct(), model).withColumnRenamed("unit", "of")
