@@ -218,38 +218,44 @@ def merge_lattice(units: DataFrame, model: Model) -> DataFrame:
     return found.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))  # nulls are not collected
 
 
-def merge_fold(edges: F.Column, unit: F.Column) -> F.Column:
-    """The ids of a unit by the model's merges; what stays a single character is coded."""
-    size = F.char_length(unit)
+def _bit(n: F.Column) -> F.Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
 
-    def bit(n: F.Column) -> F.Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+def merge_fold(lattice: DataFrame) -> DataFrame:
+    """(unit, ids) by the model's merges; what stays a single character is coded.
+
+    Each step is a column of its own: inside a lambda Spark would compute it again for
+    every element.
+    """
+    size = F.char_length("unit")
 
     def open_edge(x: F.Column) -> F.Column:
         s, e = (F.shiftright(x, k).bitwiseAND(F.lit(63).cast("long")).cast("int") for k in (26, 20))
         return F.struct(
-            s.alias("s"), bit(s).bitwiseOR(bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inner"),
+            s.alias("s"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inner"),
             x.bitwiseAND(F.lit((1 << 20) - 1).cast("long")).cast("int").alias("id"),
         )
 
-    joins = F.transform(edges, open_edge)
-    full = bit(size + 1) - 1
+    opened = lattice.select("unit", F.transform("edges", open_edge).alias("joins"))
 
     def step(mask: F.Column, _: F.Column) -> F.Column:
-        ready = F.filter(joins, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+        ready = F.filter("joins", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(ready, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
     # each merge takes one boundary, and there are no more merges than edges or inner boundaries
-    most = F.least(size - 1, F.size(edges))
+    most = F.least(size - 1, F.size("joins"))
     rounds = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    mask = F.aggregate(rounds, full, step)
-    whole = F.filter(joins, lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (mask.bitwiseAND(x["inner"]) == 0))
-    single = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(F.lit(3).cast("long") * bit(i)) == F.lit(3).cast("long") * bit(i))
+    masked = opened.select("unit", "joins", F.aggregate(rounds, _bit(size + 1) - 1, step).alias("mask"))
+    mask = F.col("mask")
+    whole = F.filter("joins", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (mask.bitwiseAND(x["inner"]) == 0))
+    both = lambda i: F.lit(3).cast("long") * _bit(i)
+    single = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(both(i)) == both(i))
     parts = F.concat(
         F.transform(whole, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))),
-        F.transform(single, lambda i: F.struct(i.alias("s"), (-1 - F.call_function("ascii", F.substr(unit, i + 1, F.lit(1)))).alias("id"))),
+        F.transform(single, lambda i: F.struct(i.alias("s"), (-1 - F.call_function("ascii", F.substr("unit", i + 1, F.lit(1)))).alias("id"))),
     )
-    return F.transform(F.array_sort(parts), lambda x: x["id"])
+    return masked.select("unit", F.transform(F.array_sort(parts), lambda x: x["id"]).alias("ids"))
 
 
 def viterbi_fold(edges: F.Column, size: F.Column) -> F.Column:
@@ -278,7 +284,7 @@ def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     if model.kind != BPE:
         return lattice(units, model).select("unit", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("ids"))
     short = units.where(F.char_length("unit") <= LONGEST)
-    found = merge_lattice(short, model).select("unit", merge_fold(F.col("edges"), F.col("unit")).alias("ids"))
+    found = merge_fold(merge_lattice(short, model))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
