@@ -28,7 +28,7 @@ RULES: tuple[Rule, ...] = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
 )
 
-DEPTH = 6  # deeper segments count as one
+DEPTH = 6  # of the check statement, where deeper segments count as one
 CHILDREN = 16  # a node with as many children has variable ones
 RARE_PERCENT = 10  # a variable child has at most this share of its node's urls
 Z = 1.96
@@ -57,17 +57,22 @@ def rule_of(host: F.Column, path: F.Column, rules: Sequence[Rule]) -> F.Column:
     return found
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, path, template) of ``urls`` (host, path, n, blocked, labels), one row per host and path."""
+def templates(urls: DataFrame) -> DataFrame:
+    """(host, path, template) of ``urls`` (host, path, n, blocked, labels), one row per host and path.
+
+    All segments count.  A node with one path left is closed in one step: it has no
+    siblings to merge with, so the rounds end where the last two paths part.
+    """
     parts = F.split(F.regexp_replace("path", "^/|/$", ""), "/")
-    cut = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**")))).otherwise(parts)
-    tree = materialise(urls.select("*", cut.alias("parts"), F.lit("").alias("template")), "url-tree")
-    levels = tree.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(levels):
+    tree = materialise(urls.select("*", parts.alias("parts"), F.lit("").alias("template")), "url-tree")
+    level = 0
+    while (tree.agg(F.max(F.size("parts"))).first()[0] or 0) > level:
         open_ = tree.where(F.size("parts") > level).withColumn("part", F.col("parts")[level])
         # stored before they are joined, so that the nodes of one host are split over tasks
-        child = materialise(open_.groupBy("host", "template", "part").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labels")]), "url-children")
-        node = materialise(child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n")), "url-nodes")
+        child = materialise(open_.groupBy("host", "template", "part").agg(F.count("*").alias("paths"), *[F.sum(c).alias(c) for c in ("n", "blocked", "labels")]), "url-children")
+        node = materialise(
+            child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), (F.sum("paths") == 1).alias("alone")), "url-nodes"
+        )
         sorted_out = child.join(node, ["host", "template"]).withColumn(
             "variable", (F.col("children") >= CHILDREN) & (100 * F.col("n") <= RARE_PERCENT * F.col("all_n"))
         )
@@ -78,17 +83,20 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         alike = (F.col("labels") >= MIN_LABELS) & (F.pow(b * pm - m * pb, F.lit(2.0)) <= F.lit(Z * Z) * m * pb * (pm - pb))
         step = F.when(F.col("variable"), F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("part"))
         named = sorted_out.join(pool, ["host", "template"], "left").select(
-            F.col("host").alias("ch"), F.col("template").alias("ct"), F.col("part").alias("cp"), F.concat("template", F.lit("/"), step).alias("longer")
+            F.col("host").alias("ch"), F.col("template").alias("ct"), F.col("part").alias("cp"), F.concat("template", F.lit("/"), step).alias("longer"), "alone"
         )
         keyed = tree.withColumn("part", F.get("parts", F.lit(level)))
         same = (F.col("host") == F.col("ch")) & (F.col("template") == F.col("ct")) & (F.col("part") == F.col("cp"))
         named = materialise(named, "url-steps")
+        # alone, a path merges with itself at every level if it has labels enough, and else stays as it is
+        rest = F.slice("parts", level + 2, F.greatest(F.lit(0), F.size("parts") - (level + 1)))
+        rest = F.transform(rest, lambda p: F.concat(F.lit("/"), F.when(F.col("labels") >= MIN_LABELS, F.lit("~")).otherwise(p)))
+        longer = F.when(F.col("alone"), F.concat("longer", F.array_join(rest, ""))).otherwise(F.coalesce("longer", "template"))
+        left = F.when(F.col("alone"), F.slice("parts", 1, level + 1)).otherwise(F.col("parts"))
         tree = materialise(
-            keyed.join(named, same, "left").select(
-                "host", "path", "n", "blocked", "labels", "parts", F.coalesce("longer", "template").alias("template")
-            ),
-            "url-tree",
+            keyed.join(named, same, "left").select("host", "path", "n", "blocked", "labels", left.alias("parts"), longer.alias("template")), "url-tree"
         )
+        level += 1
     return tree.select("host", "path", "template", "n", "blocked", "labels")
 
 

@@ -55,3 +55,17 @@ def test_plan_has_no_python_and_empty_tables_work(spark, capsys):
     assert frame.collect() == []
     frame.explain("extended")
     assert not any(word in capsys.readouterr().out for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_templates_differ_below_any_depth(spark):
+    deep = "http://h.org/a/b/c/d/e/f/g/h"
+    rules = [("block", "h.org/a/b/c/d/e/f/g/h/bad"), ("allow", "h.org/a/b/c/d/e/f/g/h/good")]
+    rows = [f"{deep}/{kind}/{i}" for kind in ("bad", "good", "new") for i in range(30)]
+    rows += ["http://alone.org/1/2/3/4/5/6/7/8/9"] * 5
+    got = urls.url_verdicts(pages(spark, list(enumerate(rows))), rules).collect()
+    by_kind = {r.path.split("/")[9]: set() for r in got}
+    for r in got:
+        by_kind[r.path.split("/")[9]].add((r.verdict, r.template))
+    assert {v for v, _ in by_kind["bad"]} == {"block"} and {v for v, _ in by_kind["good"]} == {"allow"}
+    assert not {t for _, t in by_kind["bad"]} & {t for _, t in by_kind["good"]}
+    assert by_kind["9"] == {("allow", "/1/2/3/4/5/6/7/8/9")}
