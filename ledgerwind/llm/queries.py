@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerwind.llm.codes import CODES_SQL
 from ledgerwind.llm.quality import QUALITY_SQL
 from ledgerwind.llm.urls import URLS_SQL
 from ledgerwind.llm.vectors import VECTORS_SQL
@@ -14,7 +15,7 @@ from ledgerwind.llm.warc import WARC_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL}
+CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL, "op11_vector_codes": CODES_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -106,3 +107,10 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return encode(docs, default_model(), drop_text=True).select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "round_trip")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.codes import code_report
+
+    return code_report(table(spark, folder, "embeddings"))
