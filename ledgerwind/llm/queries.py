@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwind.llm.codes import CODES_SQL
 from ledgerwind.llm.quality import QUALITY_SQL
+from ledgerwind.llm.turns import TURNS_SQL
 from ledgerwind.llm.urls import URLS_SQL
 from ledgerwind.llm.vectors import VECTORS_SQL
 from ledgerwind.llm.warc import WARC_SQL
@@ -15,7 +16,7 @@ from ledgerwind.llm.warc import WARC_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL, "op11_vector_codes": CODES_SQL}
+CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL, "op11_vector_codes": CODES_SQL, "op12_conversation_repair": TURNS_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -114,3 +115,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.codes import code_report
 
     return code_report(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.turns import repair_report
+
+    return repair_report(table(spark, folder, "conversations"))
