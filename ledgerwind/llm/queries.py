@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwind.llm.codes import CODES_SQL
+from ledgerwind.llm.contamination import CONTAMINATION_SQL
 from ledgerwind.llm.quality import QUALITY_SQL
 from ledgerwind.llm.turns import TURNS_SQL
 from ledgerwind.llm.urls import URLS_SQL
@@ -16,7 +17,7 @@ from ledgerwind.llm.warc import WARC_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL, "op11_vector_codes": CODES_SQL, "op12_conversation_repair": TURNS_SQL}
+CHECKS: dict[str, str] = {"op2_pivot_join": VECTORS_SQL, "op4_url_templates": URLS_SQL, "op9_warc_chain": WARC_SQL, "op10_quality_cascade": QUALITY_SQL, "op11_vector_codes": CODES_SQL, "op12_conversation_repair": TURNS_SQL, "op13_contamination": CONTAMINATION_SQL}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,3 +123,10 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerwind.llm.turns import repair_report
 
     return repair_report(table(spark, folder, "conversations"))
+
+
+@query
+def op13_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerwind.llm.contamination import contamination_report
+
+    return contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
