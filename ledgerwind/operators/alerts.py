@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwind import fixed_values as fv
 from ledgerwind.functions import phi
 from ledgerwind.functions.text import dollars, percent, title_case, whole_plain
+from ledgerwind.operators import audit
 from ledgerwind.operators.detect import DETECTOR_ORDER
 from ledgerwind.operators.forecast import ENTITY
 from ledgerwind.session import materialise
@@ -119,6 +120,20 @@ def summary(alerts: DataFrame) -> DataFrame:
     )
 
 
+def sweep_events(alerts: DataFrame, created_at: Column) -> DataFrame:
+    """Audit events of a sweep: one for every alert held back, one for the sweep with its counts."""
+    held = audit.compliance_events(alerts, "alert_id", "phi_matches", "ALERT", "anomaly")
+    detail = F.to_json(F.struct(F.col("alerts_generated").alias("alerts"), "phi_blocked"))
+    at = created_at.cast("string")
+    sweep = audit.audit_events(
+        summary(alerts),
+        event_id=F.sha2(F.concat_ws("|", F.lit("anomaly"), F.lit("nightly_detection"), at), 256),
+        user_id=F.lit("system"), user_role=F.lit("admin"), service=F.lit("anomaly"), action=F.lit("nightly_detection"),
+        input_phi_scan=F.lit("n/a"), output_phi_scan=F.lit("n/a"), detail_json=detail,
+    )
+    return held.unionByName(sweep)
+
+
 def message_text(alerts: DataFrame) -> Column:
     """The alert as the lines a reader sees."""
     labels = F.create_map(*[F.lit(x) for pair in fv.SEVERITY_LABEL.items() for x in pair])

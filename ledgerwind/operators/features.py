@@ -22,6 +22,7 @@ from ledgerwind.operators.timeseries import (
     rolling_sum,
     trailing_count,
 )
+from ledgerwind.session import materialise
 
 
 def daily_collections(collections: DataFrame, keys: list[str]) -> DataFrame:
@@ -316,7 +317,8 @@ def lop_counts(histogram: DataFrame, first: Column, last: Column) -> DataFrame:
 
 
 def lop_metrics(letters: DataFrame, as_of: Column | None = None) -> DataFrame:
-    histogram = lop_histogram(letters)
+    # dates, counts and turnaround all read it: written once
+    histogram = materialise(lop_histogram(letters), "letters-by-day")
     first, last = lop_dates(histogram)
     last = last if as_of is None else as_of
     counts = lop_counts(histogram, first, last)

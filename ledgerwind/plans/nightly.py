@@ -120,7 +120,8 @@ class Nightly:
         if "alerts" in self.snapshots.current():
             older = self.snapshots.read("alerts")
             fresh = older.unionByName(fresh.join(older, "alert_id", "left_anti"))
-        self._publish({"alerts": fresh})
+        # one table per date, as with forecasts: a rerun replaces its date's events
+        self._publish({"alerts": fresh, f"sweep_events/{self.run_date}": al.sweep_events(candidates, self.date.cast("timestamp"))})
         return al.summary(candidates).first().asDict()
 
     def index(self) -> None:

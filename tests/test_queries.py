@@ -14,7 +14,7 @@ from ledgerwind.plans import catalog
 SF = "/root/testdata/sf0.001"
 FAMILIES = [
     "facility_features", "settlement_features", "lop_features", "point_in_time_features", "validate_rows", "dedup_last_wins",
-    "phi_redact", "hash_embedding", "forecast_backtest", "champion_gate", "combined_severity", "answer_gate", "cosine_topk_filtered",
+    "phi_redact", "hash_embedding", "forecast_backtest", "champion_gate", "combined_severity", "isolation_forest_scores", "alert_sweep_events", "answer_gate", "cosine_topk_filtered",
     "chain_build", "chain_long_deletions", "text_chunks", "settlement_features_missing_amounts", "answer_audit", "rate_limit_tight", "capped_result", "retention",
 ]
 NAMES = list(catalog.QUERIES) if os.environ.get("LEDGERWIND_ALL") else FAMILIES
@@ -33,8 +33,7 @@ def test_query_equals_its_statement(spark, con, name):
 
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(catalog.QUERIES) - set(entry.oracle_sql())
-    assert without == {"isolation_forest_findings", "isolation_forest_scores", "alert_sweep"}
+    assert set(catalog.QUERIES) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
