@@ -190,9 +190,9 @@ def search(
     ``questions`` carry ``question_id``, ``vector`` and ``entity_filter`` (null
     for all documents); ``documents`` carry ``doc_id``, ``vector`` and
     ``entity_id``.  A question with a filter meets its entity's documents by an
-    equi-join.  Those without one meet all documents as blocks of bounded size:
-    each pair of blocks is one matrix product that keeps its ``k`` best per
-    question.  With ``fall_back`` a filter that no document satisfies is ignored.
+    equi-join.  Those without one meet the blocks of documents that their bounds
+    leave (:func:`search_plan`).  With ``fall_back`` a filter that no document
+    satisfies is ignored.
     """
     asked = questions.select(
         F.col("question_id").cast("string").alias("question_id"), F.col("vector").cast("array<double>").alias("vector"), "entity_filter"
@@ -212,20 +212,104 @@ def search(
     scored = mine.join(theirs, mine.entity_filter == theirs.entity_id).select(
         "question_id", "doc_id", F.round(product / (F.col("ql") * F.col("dl") + 1e-9), 9).alias("score")
     )
-    partial = scored.unionByName(_search_blocks(asked.filter("entity_filter is null"), held, k, block_rows))
+    partial = scored.unionByName(search_plan(asked.filter("entity_filter is null"), held, k, block_rows)[0])
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search_blocks(asked: DataFrame, held: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Every question block against every document block, by an equi-join on block numbers."""
-    count = lambda rows: F.greatest(rows.agg(F.ceil(F.count("*") / block_rows).cast("int")).scalar(), F.lit(1))
-    n_asked, n_held = count(asked), count(held)
-    own = lambda key, n: F.pmod(F.xxhash64(key), n.cast("bigint")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = asked.select("*", own("question_id", n_asked).alias("qb"), every(n_held).alias("db"))
-    right = held.select("*", own("doc_id", n_held).alias("db"), every(n_asked).alias("qb"))
-    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(lambda a, h: _best(a, h, k), _HIT)
+def _blocks(held: DataFrame, block_rows: int) -> DataFrame:
+    """``held`` with ``unit`` (its vector at length one) and the ``block`` it belongs to.
+
+    Vectors that point the same way share a block: those with the same heaviest bucket,
+    split by the second heaviest where they are too many, and by hash beyond that.
+    """
+    heaviest = F.array_sort(F.transform("unit", lambda x, i: F.struct((-F.abs(x)).alias("w"), i.alias("i"))))
+    rows = _with_unit(held).withColumn("_heavy", heaviest)
+    rows = rows.select(*held.columns, "unit", F.get("_heavy", F.lit(0))["i"].alias("_b1"), F.get("_heavy", F.lit(1))["i"].alias("_b2"))
+    sizes = rows.groupBy("_b1", "_b2").agg(F.count("*").alias("_n2"))
+    sizes = sizes.withColumn("_n1", F.sum("_n2").over(Window.partitionBy("_b1")))  # at most one row per second bucket
+    sizes = sizes.select(F.col("_b1").alias("_c1"), F.col("_b2").alias("_c2"), "_n1", "_n2")
+    same = F.col("_b1").eqNullSafe(F.col("_c1")) & F.col("_b2").eqNullSafe(F.col("_c2"))
+    lot = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n2") / block_rows))
+    block = F.concat_ws(":", "_b1", F.when(F.col("_n1") > block_rows, F.concat_ws(":", "_b2", lot)))
+    return rows.join(sizes, same).select(*held.columns, "unit", block.alias("block"))
+
+
+def _cells(vector: str) -> Column:
+    """``(bucket, x)`` of a vector: its filled buckets, or all if it has a negative one or none is filled.
+
+    So two vectors without a common bucket score zero and no less.
+    """
+    whole = F.exists(vector, lambda x: x < 0) | F.forall(vector, lambda x: x == 0)
+    cells = F.transform(vector, lambda x, i: F.struct(i.alias("bucket"), x.alias("x")))
+    return F.inline(F.when(whole, cells).otherwise(F.filter(cells, lambda c: c["x"] != 0)))
+
+
+def _with_unit(frame: DataFrame) -> DataFrame:
+    """``unit``, the vector at length one; the length is a column, so that it is taken once."""
+    unit = F.transform("vector", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(0.0))
+    return frame.withColumn("_length", _length("vector")).withColumn("unit", unit).drop("_length")
+
+
+def _bounds(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(question_id, block, rows, bound)``: no vector of the block scores higher than its bound.
+
+    The inverted lists hold, per bucket and block, the largest and the least weight; a
+    question meets the lists of its own buckets only.
+    """
+    of_block = blocks.groupBy("block").agg(F.count("*").alias("rows"))
+    lists = blocks.select("block", _cells("unit")).groupBy("block", "bucket").agg(
+        F.max("x").alias("most"), F.min("x").alias("least"), F.count("*").alias("n")
+    )
+    some = F.col("n") < F.col("rows")  # the others of the block weigh zero there
+    lists = lists.join(of_block, "block").select(
+        "block", "bucket", "rows",
+        F.when(some, F.greatest("most", F.lit(0.0))).otherwise(F.col("most")).alias("most"),
+        F.when(some, F.least("least", F.lit(0.0))).otherwise(F.col("least")).alias("least"),
+    )
+    cells = _with_unit(asked).select("question_id", _cells("unit"))
+    most = F.greatest(F.col("x") * F.col("most"), F.col("x") * F.col("least"))
+    return cells.join(lists, "bucket").groupBy("question_id", "block").agg(F.max("rows").alias("rows"), F.sum(most).alias("bound"))
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, lots: Column) -> DataFrame:
+    """The best ``k`` of each (question, block) pair; a block meets its questions in lots of bounded size."""
+    dealt = pairs.select("question_id", "block", F.pmod(F.xxhash64("question_id"), lots).alias("lot"))
+    left = dealt.join(asked.select("question_id", "vector"), "question_id")
+    wanted = dealt.select(F.col("block").alias("of"), F.col("lot").alias("to")).distinct()
+    right = blocks.select("doc_id", "vector", "block").join(wanted, F.col("block") == F.col("of"))
+    return left.groupBy("block", "lot").cogroup(right.groupBy("of", "to")).applyInArrow(lambda a, h: _best(a, h, k), _HIT)
+
+
+_SLACK = 1e-6  # of a bound, against rounding of scores
+
+
+def search_plan(asked: DataFrame, held: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits that hold the best ``k`` of each question, all bounds, and the pairs of questions and blocks scored.
+
+    A question first scores its most promising blocks, until they hold ``k`` documents; the
+    ``k``-th score found is its bar.  Of the other blocks only those are scored whose bound
+    reaches the bar.
+    """
+    lots = asked.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).alias("lots")).scalar()
+    blocks = materialise(_blocks(held, block_rows), "blocks")
+    order = Window.partitionBy("question_id").orderBy(F.desc("bound"), "block")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = materialise(_bounds(asked, blocks).withColumn("first", before < k), "bounds")
+    found = materialise(_scored(bounds.filter("first"), asked, blocks, k, lots), "first-hits")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score")))
+    bars = found.withColumn("_place", place).filter(F.col("_place") == k).select("question_id", F.col("score").alias("bar"))
+    rest = bounds.filter("not first").join(bars, "question_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - _SLACK))
+    hits = materialise(found.unionByName(_scored(rest, asked, blocks, k, lots)), "hits")
+    # a document without a common bucket scores zero: if less than k score more, the first 2 k ids decide
+    plain = lambda f: f.filter(F.forall("vector", lambda x: x >= 0))
+    ids = plain(blocks).select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
+    above = hits.filter("score > 0").groupBy("question_id").agg(F.count("*").alias("n"))
+    short = plain(asked).join(above, "question_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
+    zeros = short.select("question_id", F.explode(ids).alias("doc_id"), F.lit(0.0).alias("score"))
+    hits = hits.unionByName(zeros.join(hits.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_anti"))
+    done = bounds.filter("first").select("question_id", "block", "rows").unionByName(rest.select("question_id", "block", "rows"))
+    return hits, bounds, done
 
 
 def screen(questions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -93,6 +93,38 @@ def test_search_agrees_with_numpy(spark):
     assert strict.isEmpty()
 
 
+def clustered(rng, rows, dim, clusters, sparse):
+    centres = rng.normal(size=(clusters, dim))
+    if sparse:
+        centres = np.where(rng.random((clusters, dim)) < 0.15, np.abs(centres) + 0.5, 0.0)
+    out = centres[rng.integers(clusters, size=rows)] * (1 + 0.02 * rng.normal(size=(rows, dim)))
+    return np.where(rng.random(rows) < 0.05, 0.0, 1.0)[:, None] * out if sparse else out
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_skipped_blocks_change_nothing(spark, sparse):
+    rng = np.random.default_rng(3)
+    d, q = clustered(rng, 600, 24, 30, sparse), clustered(rng, 40, 24, 12, sparse)
+    q[0] = 0.0
+    if sparse:
+        q[1] = 0.0
+        q[1, np.flatnonzero(d.max(axis=0) == 0)[:1]] = 1.0  # shares no bucket, if there is such a one
+        d[5, 3], q[2, 4] = -0.7, -0.2  # a negative entry among others without
+    docs = spark.createDataFrame([(f"d{i:03}", [float(x) for x in v]) for i, v in enumerate(d)], "doc_id string, vector array<double>")
+    asked = spark.createDataFrame([(f"q{i:02}", [float(x) for x in v], None) for i, v in enumerate(q)], "question_id string, vector array<double>, entity_filter string")
+    got = rt.search(asked, docs.withColumn("entity_id", rt.F.lit("e")), 5, block_rows=16).collect()
+    want = []
+    for i, v in enumerate(q):
+        scores = np.round(d @ v / (np.linalg.norm(d, axis=1) * np.linalg.norm(v) + 1e-9), 9) + 0.0
+        want += [(f"q{i:02}", n + 1, f"d{j:03}", scores[j]) for n, j in enumerate(sorted(range(len(d)), key=lambda j: (-scores[j], j))[:5])]
+    found = sorted((r.question_id, r["rank"], r.doc_id, r.score) for r in got)
+    assert [f[3] for f in found] == pytest.approx([w[3] for w in want], abs=2e-9)
+    assert [f[:3] for f in found] == [w[:3] for w in want]
+    _, bounds, done = rt.search_plan(asked, docs, 5, block_rows=16)
+    share = done.agg(rt.F.sum("rows")).first()[0] / (len(q) * len(d))
+    assert share < 0.35, share
+
+
 def test_record_round_trip(spark, corpus):
     records = rt.to_record(corpus)
     record = records.filter("id = 'd1'").first()
