@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwind.functions.numeric import student_two_sided
 from ledgerwind.operators import forecast as fc
 from ledgerwind.operators.timeseries import by_day
 
@@ -21,7 +22,7 @@ REVISION_BAR = 0.10
 MAPE_FLAG = 0.20
 AB_MINIMUM_DAYS = 14
 RETENTION_MONTHS = {"raw": 24, "features": 36, "query_log": 12, "audit": 84}
-Z975 = 1.959963984540054
+AB_LEVEL = 0.05
 EMPTY_BIN = 1e-4
 
 
@@ -80,7 +81,8 @@ def error_drift(errors: DataFrame, recent: int = 7) -> DataFrame:
 def compare_models(errors: DataFrame) -> DataFrame:
     """Welch's t-test of the naive forecast (challenger) against the model (champion).
 
-    The critical value is the normal one expanded for the degrees of freedom.
+    The challenger wins with a lower mean error over enough days, if a difference as large
+    would be rarer than ``AB_LEVEL`` by chance (two-sided).
     """
     ape = lambda c: F.when(F.col("actual") > 0, F.abs(F.col(c) - F.col("actual")) / F.col("actual"))
     stats = errors.withColumns({"_a": ape("predicted"), "_b": ape("naive")}).groupBy(*fc.ENTITY).agg(
@@ -91,10 +93,9 @@ def compare_models(errors: DataFrame) -> DataFrame:
     spread = F.col("_va") + F.col("_vb")
     t = F.when(spread > 0, (F.col("challenger_mape") - F.col("champion_mape")) / F.sqrt(spread))
     freedom = F.when(spread > 0, spread * spread / ((F.col("_va") ** 2 + F.col("_vb") ** 2) / (F.col("days") - 1)))
-    z = Z975
-    critical = z + (z**3 + z) / (4 * F.col("freedom")) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * F.col("freedom") ** 2)
-    replaced = (F.col("days") >= AB_MINIMUM_DAYS) & (F.col("t") < -critical)
-    return stats.withColumns({"t": t, "freedom": freedom}).withColumn("challenger_wins", F.coalesce(replaced, F.lit(False))).drop("_va", "_vb")
+    tested = student_two_sided(stats.withColumns({"t": t, "freedom": freedom}), "t", "freedom", "p_value")
+    wins = (F.col("days") >= AB_MINIMUM_DAYS) & (F.col("t") < 0) & (F.col("p_value") < AB_LEVEL)
+    return tested.withColumn("challenger_wins", F.coalesce(wins, F.lit(False))).drop("_va", "_vb")
 
 
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerwind.functions.numeric import rounded
 from ledgerwind.operators import forecast as fc
 from ledgerwind.operators import registry as rg
+from ledgerwind.operators import smoothing as sm
 from ledgerwind.plans.catalog import register
+from ledgerwind.plans.oracle_views import view
 from ledgerwind.session import materialise
 from ledgerwind.sources import business
 from ledgerwind.sources.tables import Lake
@@ -199,3 +201,57 @@ def _rollback(lake: Lake) -> DataFrame:
 def _next(lake: Lake) -> DataFrame:
     _, registry = registered(lake)
     return rg.next_versions(registry)
+
+
+# the smoothing recurrence itself, one day per level of recursion
+view("smooth_train_v", """
+SELECT entity_type, entity_id, fold, d, t, y, y - (avg(y) OVER (PARTITION BY entity_type, entity_id, fold, isodow(d)) - avg(y) OVER (PARTITION BY entity_type, entity_id, fold)) AS x
+FROM train_v WHERE run = 2 AND fold < 3
+""")
+view("smooth_walk_v", f"""
+SELECT entity_type, entity_id, fold, t, x AS level, CAST(NULL AS DOUBLE) AS miss FROM smooth_train_v WHERE t = 0
+UNION ALL
+SELECT w.entity_type, w.entity_id, w.fold, s.t, {1 - sm.ALPHA!r} * w.level + {sm.ALPHA!r} * s.x, s.x - w.level
+FROM smooth_walk_v w JOIN smooth_train_v s ON s.entity_type = w.entity_type AND s.entity_id = w.entity_id AND s.fold = w.fold AND s.t = w.t + 1
+""")
+view("smooth_model_v", """
+SELECT entity_type, entity_id, fold, arg_max(level, t) AS level, stddev_pop(miss) AS sigma, count(*) AS n FROM smooth_walk_v GROUP BY ALL
+""")
+view("smooth_bands_v", """
+SELECT entity_type, entity_id, fold, round(total, 2) AS predicted, round(greatest(0, total - 1.2816 * sigma * sqrt(30)), 2) AS ci_lower, round(total + 1.2816 * sigma * sqrt(30), 2) AS ci_upper
+FROM (SELECT m.entity_type, m.entity_id, m.fold, max(sigma) AS sigma, sum(greatest(0, level + coalesce(o.off, 0))) AS total
+      FROM smooth_model_v m JOIN line_v l ON l.run = 2 AND l.entity_type = m.entity_type AND l.entity_id = m.entity_id AND l.fold = m.fold, (SELECT unnest(generate_series(1, 30)) AS i) i
+      LEFT JOIN (SELECT entity_type, entity_id, fold, isodow(d) AS wd, max(y - x) AS off FROM smooth_train_v GROUP BY ALL) o
+        ON o.entity_type = m.entity_type AND o.entity_id = m.entity_id AND o.fold = m.fold AND o.wd = isodow(l.last_d + CAST(i.i AS INTEGER)) GROUP BY ALL)
+""")
+view("model_folds_v", """
+SELECT 'seasonal_trend' AS model_type, entity_type, entity_id, actual, predicted, ci_lower, ci_upper FROM fold_results_v WHERE run = 2 AND fold < 3
+UNION ALL
+SELECT 'exponential_smoothing', b.entity_type, b.entity_id, r.actual, b.predicted, b.ci_lower, b.ci_upper
+FROM smooth_bands_v b JOIN fold_results_v r ON r.run = 2 AND r.entity_type = b.entity_type AND r.entity_id = b.entity_id AND r.fold = b.fold
+""")
+view("model_types_v", f"""
+SELECT *, coverage >= {sm.LEAST_COVERAGE} AS eligible FROM (
+  SELECT model_type, count(*) AS entities, avg(mape) AS mape, avg(rmse) AS rmse, avg(coverage) AS coverage FROM (
+    SELECT model_type, entity_type, entity_id, avg(abs(predicted - actual) / actual) AS mape, sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse,
+           avg(CASE WHEN actual BETWEEN ci_lower AND ci_upper THEN 1.0 ELSE 0.0 END) AS coverage FROM model_folds_v GROUP BY ALL) GROUP BY model_type)
+""")
+
+
+@register(
+    "model_selection",
+    """SELECT model_type, entities, round(mape, 6) AS mean_mape, round(rmse, 4) AS mean_rmse, round(coverage, 4) AS mean_coverage, eligible,
+              eligible AND mape = (SELECT min(mape) FROM model_types_v WHERE eligible) AS champion FROM model_types_v""",
+)
+def _selection(lake: Lake) -> DataFrame:
+    chosen = sm.select_model(sm.measure_models(materialise(series(lake), "series")))
+    return rounded(chosen, {"mean_mape": 6, "mean_rmse": 4, "mean_coverage": 4})
+
+
+@register(
+    "smoothed_fit",
+    """SELECT entity_type, entity_id, round(level, 4) AS level, round(sigma, 4) AS resid_std, n FROM smooth_model_v WHERE fold = -1""",
+)
+def _smoothed(lake: Lake) -> DataFrame:
+    fitted = sm.fit_smoothed(series(lake), E).select(*E, F.col("intercept").alias("level"), "resid_std", "n")
+    return rounded(fitted, {"level": 4, "resid_std": 4})

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerwind.functions.numeric import rounded
 from ledgerwind.operators import alerts as al
-from ledgerwind.operators import detect, forecast as fc, monitor
-from ledgerwind.operators.timeseries import trailing_count
+from ledgerwind.operators import detect, features as ft, forecast as fc, monitor, signals
+from ledgerwind.operators.timeseries import densify, trailing_count
 from ledgerwind.plans import queries_alerts as qa
 from ledgerwind.plans import queries_features as qf
 from ledgerwind.plans import queries_forecast as qc
@@ -82,16 +82,29 @@ def _drift(lake: Lake) -> DataFrame:
     return rounded(rows, {"mape_all": 6, "mape_recent": 6})
 
 
+# the tail of Student's t by Simpson's rule over its density
+view("model_welch_v", """
+SELECT entity_type, entity_id, days, a, b, (b - a) / sqrt(va + vb) AS t, (va + vb) * (va + vb) / ((va * va + vb * vb) / (days - 1)) AS f
+FROM (SELECT entity_type, entity_id, count(*) AS days, avg(ea) AS a, avg(eb) AS b, var_samp(ea) / count(*) AS va, var_samp(eb) / count(*) AS vb
+      FROM (SELECT entity_type, entity_id, abs(predicted - actual) / actual AS ea, abs(naive - actual) / actual AS eb FROM errors_v WHERE actual > 0)
+      GROUP BY ALL)
+""")
+view("model_tail_v", """
+SELECT entity_type, entity_id, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 4000, 2) / f, -(f + 1) / 2)) * abs(t) / 4000 / 3
+       * exp(lgamma((max(f) + 1) / 2) - lgamma(max(f) / 2)) / sqrt(max(f) * pi()) AS p
+FROM model_welch_v, (SELECT unnest(generate_series(0, 4000)) AS i) GROUP BY entity_type, entity_id, t
+""")
+
+
 @register(
     "model_comparison",
-    """SELECT entity_type, entity_id, days, round(a, 6) AS champion_mape, round(b, 6) AS challenger_mape, round((b - a) / sqrt(va + vb), 4) AS t
-       FROM (SELECT entity_type, entity_id, count(*) AS days, avg(ea) AS a, avg(eb) AS b, var_samp(ea) / count(*) AS va, var_samp(eb) / count(*) AS vb
-             FROM (SELECT entity_type, entity_id, abs(predicted - actual) / actual AS ea, abs(naive - actual) / actual AS eb FROM errors_v WHERE actual > 0)
-             GROUP BY ALL)""",
+    f"""SELECT entity_type, entity_id, days, round(a, 6) AS champion_mape, round(b, 6) AS challenger_mape, round(t, 4) AS t, round(f, 4) AS freedom, round(p, 9) AS p_value,
+              days >= {monitor.AB_MINIMUM_DAYS} AND t < 0 AND p < {monitor.AB_LEVEL} AS challenger_wins
+       FROM model_welch_v JOIN model_tail_v USING (entity_type, entity_id)""",
 )
 def _compare(lake: Lake) -> DataFrame:
-    rows = monitor.compare_models(monitor.daily_errors(qa.stored_series(lake))).drop("freedom", "challenger_wins")
-    return rounded(rows, {"champion_mape": 6, "challenger_mape": 6, "t": 4})
+    rows = monitor.compare_models(monitor.daily_errors(qa.stored_series(lake)))
+    return rounded(rows, {"champion_mape": 6, "challenger_mape": 6, "t": 4, "freedom": 4, "p_value": 9})
 
 
 @register(
@@ -281,3 +294,44 @@ def _settlement_cusum(lake: Lake) -> DataFrame:
     weekly = fc.dense_series(daily).withColumn("y", trailing_count("y", fc.ENTITY, "ds", 6).cast("double"))
     scored = detect.cusum_scores(weekly).select(*fc.ENTITY, "expected", "actual", "score")
     return rounded(scored, {"expected": 6, "actual": 4, "score": 6})
+
+
+view("homes_v", "SELECT n_name AS attorney_id, r_name AS facility_id FROM nation JOIN region ON r_regionkey = n_regionkey")
+
+
+view("signal_visits_v", "SELECT facility_id, event_date, sum(n7) AS x FROM visit_features_v GROUP BY ALL")
+view("signal_velocity_v", "SELECT facility_id, event_date, avg(settlement_velocity_change_30d) AS x FROM settlement_features_v JOIN homes_v USING (attorney_id) GROUP BY ALL")
+view("signal_old_v", """
+SELECT facility_id, event_date, CASE WHEN sum(total_outstanding) > 0 THEN sum(bucket_180_plus_balance) / sum(total_outstanding) ELSE 0 END AS x
+FROM attorney_features_v JOIN homes_v USING (attorney_id) GROUP BY ALL
+""")
+view("signal_missed_v", """
+SELECT entity_id AS facility_id, d AS event_date, CASE WHEN predicted > 0 THEN (actual - predicted) / predicted END AS x FROM errors_v WHERE entity_type = 'facility'
+""")
+
+
+@register(
+    "six_signal_vectors",
+    """SELECT s.facility_id, s.d AS event_date, round(s.y, 4) AS collections_1d, CAST(coalesce(v.x, 0) AS DOUBLE) AS new_visits_7d, round(coalesce(w.x, 0), 6) AS settlement_velocity_change_30d,
+              round(coalesce(l.lop_turnaround_days_p50, 0), 4) AS lop_turnaround_days_p50, round(coalesce(o.x, 0), 6) AS pct_180_plus, round(coalesce(m.x, 0), 6) AS collections_vs_forecast_delta
+       FROM facility_dense_v s
+       ASOF LEFT JOIN signal_visits_v v ON v.facility_id = s.facility_id AND s.d >= v.event_date
+       ASOF LEFT JOIN signal_velocity_v w ON w.facility_id = s.facility_id AND s.d >= w.event_date
+       ASOF LEFT JOIN lop_features_v l ON l.facility_id = s.facility_id AND s.d >= l.event_date
+       ASOF LEFT JOIN signal_old_v o ON o.facility_id = s.facility_id AND s.d >= o.event_date
+       ASOF LEFT JOIN signal_missed_v m ON m.facility_id = s.facility_id AND s.d >= m.event_date""",
+)
+def _six_signals(lake: Lake) -> DataFrame:
+    daily = ft.daily_collections(business.collections(lake, *qf.FACILITY), ["facility_id"])
+    dense = densify(daily, ["facility_id"], "event_date", ["collections_1d"])
+    delta = monitor.forecast_delta(monitor.daily_errors(qa.stored_series(lake))).filter("entity_type = 'facility'")
+    delta = delta.select(F.col("entity_id").alias("facility_id"), F.col("ds").alias("event_date"), "collections_vs_forecast_delta")
+    nation, region = lake.table("nation"), lake.table("region")
+    homes = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("attorney_id"), F.col("r_name").alias("facility_id"))
+    rows = signals.six_signals(
+        dense, qf.visit_features(lake), qf.settlement_features(lake), qf.lop_features(lake), qf.aging_features(lake), delta, homes
+    )
+    return rounded(
+        rows,
+        {"collections_1d": 4, "settlement_velocity_change_30d": 6, "lop_turnaround_days_p50": 4, "pct_180_plus": 6, "collections_vs_forecast_delta": 6},
+    )
