@@ -75,6 +75,6 @@ def student_two_sided(frame: DataFrame, t: str, freedom: str, column: str) -> Da
     start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
     fraction = F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_TERMS)), start, two_terms, lambda state: state["h"])
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log("_x") + b * F.log("_rest"))
-    share = F.when(at > 0, front * fraction / a).otherwise(F.lit(0.0))
+    share = F.when(at > 0, front * fraction / a).when(at == 0, F.lit(0.0))
     tail = F.when(F.col("_swap"), 1 - share).otherwise(share)
     return staged.withColumn(column, F.when(F.col(t) == 0, F.lit(1.0)).otherwise(tail)).drop("_swap", "_x", "_rest", "_a", "_b")
