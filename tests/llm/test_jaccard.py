@@ -55,13 +55,15 @@ def test_keeps_what_brute_force_keeps(docs):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(table)).collect()) == plain_kept(table)
 
 
-def test_a_group_without_a_common_hub_is_peeled(spark, docs, monkeypatch):
-    # one bucket for all: the candidates are then all pairs, and every round leaves some open
+@pytest.mark.parametrize("block", [1024, 5])
+def test_a_group_without_a_common_hub_is_joined_in_blocks(spark, docs, monkeypatch, block):
+    # one bucket for all: the candidates are then all pairs
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     monkeypatch.setattr(jaccard, "BANDS", 1)
     monkeypatch.setattr(jaccard, "bands", lambda hashes: [7] if len(hashes) else [])
     table = rows()[:24]
     marked = [(jaccard.set_key(jaccard.shingles(t)), [7], t, i) for i, t in table]
-    frame = spark.createDataFrame(marked, "k long, b array<long>, text string, row long")
+    frame = spark.createDataFrame(marked, "k string, b array<long>, text string, row long")
     got = {r.s: r.root for r in jaccard.set_groups(frame, "k", "b", "text", "row").collect()}
     least = {}
     for (i, _), (key, *_) in zip(table, marked):
@@ -78,3 +80,18 @@ def test_bands_meet_at_the_threshold(share):
         more = draw.integers(0, 1 << 64, int(n / share) - n, dtype=np.uint64)
         missed += not set(jaccard.bands(both)) & set(jaccard.bands(np.concatenate((both, more))))
     assert missed == 0
+
+
+def test_one_template_takes_a_fixed_number_of_tables(docs, monkeypatch):
+    tables = []
+    real = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda f, name: tables.append(name) or real(f, name))
+    shared = prose(9, 150)
+    template = [(k, f"{shared} {prose(3000 + k, 50)}") for k in range(2000)]
+    kept = [r.doc_id for r in simhash.keep_one(docs([*template, (5000, template[7][1]), (5001, edited(template[8][1], 1, 2))])).collect()]
+    assert sorted(kept) == list(range(2000))
+    assert len(tables) <= 10
+
+
+def test_set_keys_have_128_bits():
+    assert len(jaccard.set_key(jaccard.shingles("a b c d e f"))) == 32 and jaccard.set_key(jaccard.shingles("")) == "0" * 32

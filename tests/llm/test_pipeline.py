@@ -8,7 +8,7 @@ from ledgerwind.llm import quality, secrets
 from ledgerwind.llm.vocabularies import FOLDER, PIECE_MODEL
 
 from .conftest import prose
-from .test_simhash import plain_fingerprint, plain_groups
+from .test_jaccard import plain_kept
 
 HEX40 = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
@@ -30,13 +30,10 @@ def test_every_stage_takes_effect(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scan", "mix_sources", "sentence_pieces"]
     out = corpus_pipeline.run(spark, folder).collect()
     good = [r for r in rows() if quality.first_rejection(quality.Facts(r[1]), quality.BASE_RULES + quality.MORE_RULES) is None]
-    groups = plain_groups([plain_fingerprint(t) for _, t, _ in good])
-    kept = {}
-    for row, group in zip(good, groups):
-        if group not in kept or (row[0] is not None and (kept[group][0] is None or row[0] < kept[group][0])):
-            kept[group] = row
+    numbers = {10**9 if doc is None else doc: (doc, text) for doc, text, _ in good}
+    kept = [numbers[n] for n in plain_kept([(n, text) for n, (_, text) in numbers.items()])]
     texts = {}
-    for doc, text, _ in kept.values():
+    for doc, text in kept:
         base, _ = secrets.scan(text)
         texts[doc] = secrets.masked(text, [dict(zip(("kind", "start", "end"), s)) for s in base], "[SECRET]") if base else text
     assert 201 not in texts and 100 not in texts and 102 not in texts and HEX40 not in texts[300]
