@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -59,6 +60,30 @@ def _local_scratch(application_id: str) -> str:
     return tempfile.mkdtemp(prefix=f"ledgerwind-{application_id}-")
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables this process has materialised so far; a mark for :func:`release`."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, until: int) -> None:
+    """Remove the tables materialised between two marks, and let go of shuffle files nobody reads.
+
+    Only for a step whose result has been written elsewhere: frames that still read such a
+    table fail.  Tables of other processes in the same folder are not touched.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for at in range(since, min(until, len(_written))):
+        if _written[at]:
+            path = jvm.org.apache.hadoop.fs.Path(_written[at])
+            path.getFileSystem(conf).delete(path, True)
+            _written[at] = ""
+    gc.collect()
+    jvm.System.gc()  # Spark removes the shuffle files of plans that are gone
+
+
 def materialise(frame: DataFrame, name: str) -> DataFrame:
     """Write a small result once to the shared folder and read it back.
 
@@ -66,5 +91,6 @@ def materialise(frame: DataFrame, name: str) -> DataFrame:
     survive lost executors, so nothing upstream is recomputed.
     """
     path = f"{shared_folder(frame.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
