@@ -23,6 +23,7 @@ MAPE_FLAG = 0.20
 AB_MINIMUM_DAYS = 14
 RETENTION_MONTHS = {"raw": 24, "features": 36, "query_log": 12, "audit": 84}
 AB_LEVEL = 0.05
+DISMISSED_P1_BAR = 0.15
 EMPTY_BIN = 1e-4
 
 
@@ -98,6 +99,24 @@ def compare_models(errors: DataFrame) -> DataFrame:
     return tested.withColumn("challenger_wins", F.coalesce(wins, F.lit(False))).drop("_va", "_vb")
 
 
+def alert_outcomes(alerts: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """Share of each month's alerts that were acknowledged and that were dismissed as false, by severity.
+
+    ``dismissals`` name alerts by ``alert_id``, once or more.  P1 alerts are over the target
+    if a larger share of them was dismissed than ``DISMISSED_P1_BAR``.
+    """
+    dismissed = dismissals.select(F.col("alert_id").alias("_id")).distinct()
+    rows = alerts.join(dismissed, alerts["alert_id"] == F.col("_id"), "left").select(
+        F.trunc("created_at", "month").alias("month"), "severity",
+        (F.col("status") == "acknowledged").cast("double").alias("_acknowledged"), F.col("_id").isNotNull().cast("double").alias("_dismissed"),
+    )
+    rates = rows.groupBy("month", "severity").agg(
+        F.count("*").alias("alerts"), F.avg("_acknowledged").alias("acknowledged_rate"), F.avg("_dismissed").alias("dismissed_rate")
+    )
+    over = (F.col("severity") == "P1") & (F.col("dismissed_rate") > DISMISSED_P1_BAR)
+    return rates.withColumn("over_target", F.coalesce(over, F.lit(False)))
+
+
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Change of the 30-day outlook between two forecasts of an entity."""
     joined = old.select(*fc.ENTITY, F.col("predicted").alias("before")).join(new.select(*fc.ENTITY, F.col("predicted").alias("after")), fc.ENTITY)

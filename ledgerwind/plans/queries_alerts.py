@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwind import fixed_values as fv
 from ledgerwind.functions.numeric import rounded
 from ledgerwind.operators import alerts as al
-from ledgerwind.operators import detect, features as ft, forecast as fc, iforest
+from ledgerwind.operators import detect, features as ft, forecast as fc, iforest, monitor
 from ledgerwind.operators.timeseries import densify
 from ledgerwind.plans import queries_features as qf
 from ledgerwind.plans import queries_forecast as qc
@@ -297,6 +297,23 @@ def _ack(lake: Lake) -> DataFrame:
     return al.acknowledge(rows, acks).select("alert_id", "status", "acknowledged_by", "changed")
 
 
+@register(
+    "alert_outcomes",
+    f"""SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, severity, count(*) AS alerts,
+               round(avg(CASE WHEN severity = 'P2' THEN 1.0 ELSE 0.0 END), 6) AS acknowledged_rate,
+               round(avg(CASE WHEN entity_type = 'case_type' THEN 1.0 ELSE 0.0 END), 6) AS dismissed_rate,
+               severity = 'P1' AND avg(CASE WHEN entity_type = 'case_type' THEN 1.0 ELSE 0.0 END) > {monitor.DISMISSED_P1_BAR} AS over_target
+        FROM alerts_v GROUP BY 1, severity""",
+)
+def _outcomes(lake: Lake) -> DataFrame:
+    """P2 alerts are acknowledged and alerts of case types dismissed, twice each."""
+    rows = materialise(al.deliverable(alerts(lake)), "alerts")
+    acks = rows.filter("severity = 'P2'").select("alert_id", F.lit("ops").alias("user_id"), F.col("created_at").alias("acked_at"))
+    dismissals = rows.filter("entity_type = 'case_type'").select("alert_id")
+    outcomes = monitor.alert_outcomes(al.acknowledge(rows, acks), dismissals.unionByName(dismissals))
+    return rounded(outcomes, {"acknowledged_rate": 6, "dismissed_rate": 6})
+
+
 @register(
     "alerts_page",
     """SELECT alert_id, entity_type, entity_id, severity FROM alerts_v WHERE severity = 'P1'

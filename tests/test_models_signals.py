@@ -84,3 +84,15 @@ def test_feeds_are_merged_as_of_each_day(spark):
     assert len(got) == 12
     assert [got["a", day(n)][1] for n in range(6)] == [1.0, 1.0, None, None, 3.0, 3.0]
     assert got["b", day(5)] == (5.0, None, 7, 8) and got["b", day(4)] == (4.0, None, None, None)
+
+
+def test_outcomes_of_alerts(spark):
+    from ledgerwind.operators import monitor
+
+    at = lambda m: dt.datetime(2026, m, 3)
+    rows = [("a", "P1", "open", at(1)), ("b", "P1", "acknowledged", at(1)), ("c", "P2", "open", at(1)), ("d", "P1", "open", at(2))]
+    alerts = spark.createDataFrame(rows, "alert_id string, severity string, status string, created_at timestamp")
+    dismissed = spark.createDataFrame([("a",), ("a",), ("c",), ("x",)], "alert_id string")
+    got = {(r.month.month, r.severity): tuple(r)[2:] for r in monitor.alert_outcomes(alerts, dismissed).collect()}
+    assert got == {(1, "P1"): (2, 0.5, 0.5, True), (1, "P2"): (1, 0.0, 1.0, False), (2, "P1"): (1, 0.0, 0.0, False)}
+    assert monitor.alert_outcomes(alerts.limit(0), dismissed).isEmpty()
