@@ -71,4 +71,32 @@ def test_no_piece_crosses_a_unit():
 
 
 def test_empty_table(docs):
-    assert pieces.encode(docs([]), default_model()).collect() == []
+    out = pieces.encode(docs([]), default_model())
+    assert out.collect() == []
+    assert pieces.decode(out, default_model(), column="text").columns == [*(c for c in out.columns if c != "text"), "text"]
+    assert pieces.decode(out, default_model()).collect() == []
+
+
+def test_many_units_over_many_blocks(spark, docs, library, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pieces, "REPLY_UNITS", 500)
+    texts = [prose(i, 120) + (" " + "z" * (60 + i) if i % 3 == 0 else "") for i in range(60)]
+    rows = pieces.encode(docs(list(enumerate(texts))).repartition(3), default_model()).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(60))
+    assert all(r.pieces == library.encode(r.text) and r.round_trip for r in rows)
+
+
+def test_one_pass_is_left_where_a_better_piece_holds_a_worse_one():
+    ranks = {"bc": 10, "ab": 20, "cd": 30, "abcd": 300, "abc": 500}
+    model = pieces.Model(pieces.BPE, tuple((p, -float(r), pieces.NORMAL) for p, r in ranks.items()), False)
+    assert model.contained == {"abc"}
+
+
+def test_late_better_piece_is_merged_before_later_ones(spark):
+    ranks = {"bc": 10, "ab": 20, "cd": 30, "abcd": 300, "abc": 500, "de": 600}
+    chars = [(c, -9000.0 - k, pieces.NORMAL) for k, c in enumerate("abcde")]
+    model = pieces.Model(pieces.BPE, (*((p, -float(r), pieces.NORMAL) for p, r in ranks.items()), *chars), False)
+    units = ["abcd", "abcde", "abc", "cde", "e", "abab", "bcabcd"]
+    got = {r.unit: model.resolved(r.ids) for r in pieces.encoded_units(spark.createDataFrame([(u,) for u in units], "unit string"), model).collect()}
+    assert got == {u: model.merged(u) for u in units}
+    assert got["abcde"] == [model.ids["abcd"], model.ids["e"]]
