@@ -85,12 +85,10 @@ def _latest_settlements(lake: Lake) -> DataFrame:
          ON f.facility_id = s.facility_id AND s.visit_date >= f.event_date""",
 )
 def _point_in_time(lake: Lake) -> DataFrame:
-    # one spine row per facility and day, then an equi-join back to the visits
     visits = business.visits(lake, "visit_id", "facility_id", "visit_date")
-    spine = visits.select("facility_id", "visit_date").distinct()
     features = qf.facility_features(lake).select("facility_id", "event_date", "collections_30d_rolling")
-    known = store.as_of_join(spine, features, ["facility_id"], "visit_date")
-    return rounded(visits.join(known, ["facility_id", "visit_date"], "left"), {"collections_30d_rolling": 4})
+    known = store.as_of_join(visits, features, ["facility_id"], "visit_date")
+    return rounded(known, {"collections_30d_rolling": 4})
 
 
 @register(

@@ -112,3 +112,39 @@ def test_as_of_join(spark):
     spine = spark.createDataFrame(asked, "k string, at date")
     got = store.as_of_join(spine, known, ["k"], "at").orderBy("k", "at").collect()
     assert [r.v for r in got] == [None, 1, 1, 2, 2, None]
+
+
+def test_as_of_join_equals_brute_force_with_a_hot_entity(spark):
+    known = [(k, DAY + dt.timedelta(days=d), float(d)) for k, days in (("hot", range(0, 400, 7)), ("b", (3, 390)), (None, (5,))) for d in days]
+    known.append(("hot", None, -1.0))
+    asked = [(i, "hot", DAY + dt.timedelta(days=i % 450 - 20)) for i in range(6000)]
+    asked += [(6000 + i, k, DAY + dt.timedelta(days=i)) for i, k in enumerate(["b", None, "c"] * 130)]
+    asked += [(7000, "hot", None), (7001, "b", DAY + dt.timedelta(days=3)), (7001, "b", DAY + dt.timedelta(days=3))]
+    spine = spark.createDataFrame(asked, "id int, k string, at date")
+    features = spark.createDataFrame(known, "k string, event_date date, v double")
+    got = store.as_of_join(spine, features, ["k"], "at").collect()
+
+    def newest(k, at):
+        found = [(d, v) for key, d, v in known if at and d and key == k and d <= at]
+        return max(found, default=(None, None))
+
+    order = lambda r: (r[0], str(r))
+    assert sorted([tuple(r) for r in got], key=order) == sorted([(i, k, at, *newest(k, at)) for i, k, at in asked], key=order)
+    empty = store.as_of_join(spine.limit(0), features, ["k"], "at")
+    assert empty.collect() == [] and empty.columns == ["id", "k", "at", "feature_date", "v"]
+    assert {r.v for r in store.as_of_join(spine, features.limit(0), ["k"], "at").collect()} == {None}
+
+
+def test_as_of_join_spreads_one_entity_on_one_day(spark):
+    spine = spark.range(20000).selectExpr("id", "'hot' k", "date'2025-03-01' at").repartition(8)
+    features = spark.createDataFrame([("hot", DAY, 1.0)], "k string, event_date date, v double")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(old, ("-1", "false")):
+            spark.conf.set(c, v)
+        known = store.as_of_join(spine, features, ["k"], "at", spread=64)
+        sizes = [r["count"] for r in known.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 20000 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
