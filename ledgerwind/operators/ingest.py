@@ -93,11 +93,13 @@ def _ingest_entity(spark, source, entity, store, report, prior, staged, phi_key,
         if c in validated.columns:
             has_personal = has_personal | (F.col(c).isNotNull() & (F.col(c) != ""))
     good = F.size("errors") == 0
+    messages = quality.first_errors(entity, source.columns, order)
     measured = validated.observe(
         seen,
         F.count("*").alias("source"),
         F.sum(good.cast("bigint")).alias("passed"),
         F.sum((good & has_personal).cast("bigint")).alias("masked"),
+        *(place.alias(f"e{i}") for i, place in enumerate(messages.values())),
     )
     raw_path = store.stage(quality.valid_rows(measured), f"raw/{entity}", report.run_id)
     counted = seen.get
@@ -107,8 +109,7 @@ def _ingest_entity(spark, source, entity, store, report, prior, staged, phi_key,
     report.failed += total - passed
     report.masked += counted["masked"] or 0
     if total > passed:
-        samples = quality.error_samples(validated, entity, order).orderBy("sample").collect()
-        report.validation_errors[entity] = [r.message for r in samples]
+        report.validation_errors[entity] = quality.sampled({m: counted[f"e{i}"] for i, m in enumerate(messages)})
     if passed == 0:
         message = f"[{entity}] no rows from source; skipped"
         if permissive:
@@ -118,12 +119,15 @@ def _ingest_entity(spark, source, entity, store, report, prior, staged, phi_key,
             report.schema_ok = False
         return
 
-    curated = curate(spark.read.parquet(raw_path), entity, phi_key, [order])
-    rules = quality.rule_measures(entity, curated.columns)
-    checked = Observation(f"{entity}-curated")
-    aliases = [m.alias(f"m{i}") for i, m in enumerate(rules.values())]
-    path = store.stage(curated.observe(checked, F.count("*").alias("rows"), *aliases), f"curated/{entity}", report.run_id)
-    result = checked.get
+    # the rules look at every row, also at those that a later row of their key replaces
+    valid = spark.read.parquet(raw_path)
+    rules = quality.rule_measures(entity, valid.columns)
+    checked, counts = Observation(f"{entity}-valid"), Observation(f"{entity}-curated")
+    if rules:
+        valid = valid.observe(checked, *(m.alias(f"m{i}") for i, m in enumerate(rules.values())))
+    curated = curate(valid, entity, phi_key, [order]).observe(counts, F.count("*").alias("rows"))
+    path = store.stage(curated, f"curated/{entity}", report.run_id)
+    result = checked.get if rules else {}
     for i, (column, rule) in enumerate(rules):
         observed = result[f"m{i}"]
         if observed > quality.RULE_LIMITS[rule]:
@@ -133,7 +137,7 @@ def _ingest_entity(spark, source, entity, store, report, prior, staged, phi_key,
                 if rule == "null_rate"
                 else f"[{entity}.{column}] contains negative values"
             )
-    rows = result["rows"]
+    rows = counts.get["rows"]
     before = prior.get(f"curated/{entity}", ("", 0))[1]
     if before > 0 and (before - rows) / before > fv.MAX_RECORD_DROP:
         message = f"[{entity}] record count dropped {(before - rows) / before:.1%} (prior={before}, now={rows})"

@@ -79,6 +79,25 @@ def error_samples(validated: DataFrame, entity: str, order: str, limit: int = fv
     )
 
 
+def first_errors(entity: str, columns: Iterable[str], order: str) -> dict[str, Column]:
+    """Per message that the contract can give, where it is seen first; to be observed while the rows are read."""
+    present, found = set(columns), {}
+    for field in contracts.fields(entity):
+        kinds = [contracts.MISSING] if field.required else []
+        if field.name in present and field.kind != "str":
+            kinds.append(contracts.BAD_INTEGER if field.kind == "int" else contracts.BAD_NUMBER)
+        for kind in kinds:
+            message = f"{field.name}: {kind}"
+            found[message] = F.min(F.when(F.array_contains("errors", message), F.struct(order, F.array_position("errors", message))))
+    return found
+
+
+def sampled(seen: dict[str, tuple | None], limit: int = fv.ERROR_SAMPLES_PER_ENTITY) -> list[str]:
+    """The first distinct messages, by first appearance; a row without order comes first."""
+    places = sorted((at[0] is not None, *at, message) for message, at in seen.items() if at is not None)
+    return [message for *_, message in places[:limit]]
+
+
 def schema_failures(columns: Iterable[str], entity: str) -> list[str]:
     """Missing required and unexpected extra columns; metadata only, no job."""
     actual = set(columns)
@@ -142,8 +161,9 @@ def duplicate_keys(frame: DataFrame, keys: list[str]) -> DataFrame:
 def last_row_wins(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the last in the given order.
 
-    A running maximum needs no sorted group, so a key repeated billions of times
-    is reduced inside every map task before it is shuffled.
+    Spark reduces the maximum of a struct by sorted aggregates: a key repeated billions
+    of times is reduced inside every map task before it is shuffled, but each task sorts
+    its rows by the keys once before the shuffle and once after it.
     """
     payload = [c for c in frame.columns if c not in keys]
     latest = F.max_by(F.struct(*payload), F.struct(*order)) if payload else F.max(F.lit(1))

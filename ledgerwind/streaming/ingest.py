@@ -18,11 +18,13 @@ def ingest_stream(
     A batch that passes is published as a delta behind all earlier commits, whatever
     its size; readers see the earlier rows and its own.  A batch that is rejected
     goes to ``quarantine/<entity>``, so no row is lost when the stream moves on.  A
-    batch that was committed before a failure is not committed again.
+    batch that was committed before a failure is not committed again; a stream with a new
+    checkpoint counts from 0 again, so the stream's own id is part of its run ids.
     """
 
     def one_batch(rows: DataFrame, batch: int) -> None:
-        run_id = f"stream-{entity}-{batch}"
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_id = f"stream-{entity}-{stream}-{batch}"
         if store.committed(run_id):
             return
         sequence = store.next_sequence()

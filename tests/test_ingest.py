@@ -169,6 +169,29 @@ def test_stream_keeps_every_batch(spark, tmp_path):
     assert not report.aborted and store.read("curated/visits").count() == 30
 
 
+def test_stream_with_a_new_checkpoint_skips_nothing(spark, tmp_path):
+    from ledgerwind.streaming.ingest import ingest_stream
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    for k in range(2):
+        spark.createDataFrame([visit(10 * k + i) for i in range(3)], VISIT).coalesce(1).write.parquet(str(tmp_path / f"feed{k}"))
+        feed = spark.readStream.schema(VISIT).parquet(str(tmp_path / f"feed{k}"))
+        ingest_stream(spark, feed, "visits", store, "key").awaitTermination(120)
+        (tmp_path / "store/_stream").rename(tmp_path / f"gone{k}")
+    ids = {r.visit_id for r in store.read("curated/visits").collect()}
+    assert len(ids) == 6
+
+
+def test_rules_see_replaced_rows_and_samples_come_in_order(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    rows = [visit(1, visit_id="v", paid_amount="-5"), visit(2, visit_id="v"), visit(3, paid_amount="x"), visit(4, billed_amount="y"), visit(5, paid_amount="z")]
+    report = run_ingest(spark, {"visits": spark.createDataFrame(rows, VISIT)}, store, "r1", 1, "key")
+    assert report.aborted and report.failures == ["[visits.paid_amount] contains negative values"]
+    checked = quality.validate(spark.createDataFrame(rows, VISIT), "visits")
+    want = [r.message for r in quality.error_samples(checked, "visits", "_ord").orderBy("sample").collect()]
+    assert report.validation_errors["visits"] == want and len(want) == 2
+
+
 def test_aborted_run_with_a_used_id_changes_nothing(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     run_ingest(spark, {"visits": spark.createDataFrame([visit(i) for i in range(10)], VISIT)}, store, "r1", 1, "key")
