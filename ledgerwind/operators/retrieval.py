@@ -130,20 +130,26 @@ def from_record(records: DataFrame) -> DataFrame:
 def match_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """Longest entity name contained in each question: ``(question_id, entity_filter)``.
 
-    Names are met by an exact equi-join: every substring of the question whose length
-    is some name's length is looked up, so no question is paired with every name.
+    Names are met by exact equi-joins, so no question is paired with every name.  The head
+    of a name is its longest start of 1, 2, 4, 8, ... characters.  At every place of a
+    question the pieces of those lengths are looked up among the heads; only where one is
+    found are the pieces looked up that are as long as the names with that head.  Names
+    are stored first: Spark then knows their size, and while it is small enough to be
+    broadcast no piece is shuffled.
     """
     names = entities.select("entity_id", normalise_entity(F.col("entity_id")).alias("_name")).filter("_name <> ''").distinct()
+    names = materialise(names, "entity-names")
+    head = F.expr("cast(pow(2, length(bin(length(_name))) - 1) as int)")
+    heads = names.select(F.substring(F.col("_name"), F.lit(1), head).alias("_head"), F.length("_name").alias("_size"))
+    heads = heads.groupBy("_head").agg(F.collect_set("_size").alias("_sizes"))
+    widths = names.agg(F.collect_set(head)).scalar()
     asked = questions.select("question_id", normalise_entity(F.col("question")).alias("_asked"))
-    sizes = names.agg(F.collect_set(F.length("_name"))).scalar()
-    at_size = asked.select("question_id", "_asked", F.explode(sizes).alias("_size")).filter(F.length("_asked") >= F.col("_size"))
-    pieces = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length("_asked") - F.col("_size") + 1),
-            lambda at: F.substring(F.col("_asked"), at, F.col("_size")),
-        )
-    )
-    found = at_size.select("question_id", F.explode(pieces).alias("_name")).join(names, "_name")
+    placed = asked.select("question_id", "_asked", F.explode(widths).alias("_width")).filter(F.length("_asked") >= F.col("_width"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(1), F.length("_asked") - F.col("_width") + 1)).alias("_at"))
+    opened = placed.withColumn("_head", F.substring(F.col("_asked"), F.col("_at"), F.col("_width"))).join(heads, "_head")
+    pieces = opened.select("question_id", "_asked", "_at", F.explode("_sizes").alias("_size"))
+    pieces = pieces.filter(F.col("_at") + F.col("_size") - 1 <= F.length("_asked"))
+    found = pieces.select("question_id", F.substring(F.col("_asked"), F.col("_at"), F.col("_size")).alias("_name")).join(names, "_name")
     return found.groupBy("question_id").agg(
         F.max(F.struct(F.length("_name").alias("size"), "entity_id")).alias("_best")
     ).select("question_id", F.col("_best.entity_id").alias("entity_filter"))

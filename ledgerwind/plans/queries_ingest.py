@@ -264,12 +264,12 @@ view("thresholds_v", "SELECT entity_type, entity_id, " + ", ".join(
 
 
 def entities(lake: Lake) -> DataFrame:
-    """Distinct entities of every type, from one pass over the collections."""
-    rows = business.collections(lake, "facility_id", "attorney_id", "case_type").distinct()
+    """Distinct entities of every type that the collections name."""
     pairs = F.array(*[
-        F.struct(F.lit(t).alias("entity_type"), F.col(c).alias("entity_id")) for t, c in fv.ENTITY_DIMENSIONS.items()
+        F.struct(F.lit(t).alias("entity_type"), F.col(c).alias("entity_id")) for t, c in fv.ENTITY_DIMENSIONS.items() if c != "case_type"
     ])
-    return rows.select(F.inline(pairs)).distinct()
+    places = business.places(lake).select(F.inline(pairs)).distinct()
+    return places.unionByName(business.case_types(lake).select(F.lit("case_type").alias("entity_type"), F.col("case_type").alias("entity_id")))
 
 
 @register("entity_list", "SELECT entity_type, entity_id FROM entities_v")

@@ -84,6 +84,20 @@ def collections(lake: Lake, *columns: str) -> DataFrame:
     return rows.select(*wanted)
 
 
+def places(lake: Lake) -> DataFrame:
+    """Distinct facility and attorney pairs of the collections; the lines are reduced to their suppliers before the join."""
+    lines = lake.table("lineitem").select("l_suppkey").distinct()
+    return _with_supplier(lines, lake).select("facility_id", "attorney_id").distinct()
+
+
+def case_types(lake: Lake) -> DataFrame:
+    """Distinct case types of the collections; keys are reduced before each join."""
+    lines = lake.table("lineitem").select("l_orderkey").distinct()
+    orders = lake.table("orders").select("o_orderkey", "o_custkey")
+    buyers = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left").select("o_custkey").distinct()
+    return _with_segment(buyers, lake).select("case_type").distinct()
+
+
 def visits(lake: Lake, *columns: str) -> DataFrame:
     """Visits: one row per order."""
     wanted = columns or (

@@ -155,3 +155,52 @@ def test_every_alert_is_described(spark):
     alerts = spark.createDataFrame(rows, "alert_id string, entity_type string, entity_id string, created_at timestamp, severity string, metric string, expected double, actual double, driver_narrative string")
     documents = rt.build_corpus(none["facility"], none["attorney"], none["forecast"], alerts)
     assert documents.select("source_doc_id").distinct().count() == 130
+
+
+def test_matching_equals_brute_force_and_shuffles_no_pieces(spark):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(3)
+    make = lambda n: "".join(draw.choice(list("abc -"), n))
+    wanted = [make(int(draw.integers(1, 12))) for _ in range(60)] + ["", None, "a", "abcabcabcabcabcab"]
+    texts = [make(int(n)) for n in draw.integers(0, 40, 60)] + ["xabcabcabcabcabcabx", None, ""]
+    # a table whose estimated size is large, though few names are in it
+    picked = F.array(*[F.lit(w) for w in wanted])
+    names = spark.range(20000).select(F.get(picked, (F.col("id") % len(wanted)).cast("int")).alias("entity_id"))
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id string, question string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        frame = rt.match_entities(asked, names)
+        assert "SortMergeJoin" not in frame._jdf.queryExecution().sparkPlan().toString()
+        found = {r.question_id: r.entity_filter for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {}
+    for i, text in enumerate(texts):
+        inside = [(len(plain(w)), w) for w in wanted if w and plain(w) and plain(w) in plain(text or "")]
+        if inside:
+            want[str(i)] = max(inside)[1]
+    assert found == want
+
+
+def test_entities_of_repeated_and_unknown_keys(spark, tmp_path):
+    from ledgerwind.plans.queries_ingest import entities
+    from ledgerwind.sources.tables import SCHEMAS, Lake
+
+    def put(name, *rows):
+        wide = [c.strip().split()[0] for c in SCHEMAS[name].split(",")]
+        full = [tuple(r.get(c) for c in wide) for r in rows]
+        spark.createDataFrame(full, SCHEMAS[name]).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("region", {"r_regionkey": 1, "r_name": "EAST"})
+    put("nation", {"n_nationkey": 1, "n_name": "UTOPIA", "n_regionkey": 1}, {"n_nationkey": 2, "n_name": "LOST", "n_regionkey": 9})
+    put("supplier", {"s_suppkey": 1, "s_nationkey": 1}, {"s_suppkey": 1, "s_nationkey": 2}, {"s_suppkey": 3, "s_nationkey": 1})
+    put("customer", {"c_custkey": 1, "c_mktsegment": "A"}, {"c_custkey": 1, "c_mktsegment": "B"}, {"c_custkey": 2, "c_mktsegment": "C"})
+    put("orders", {"o_orderkey": 1, "o_custkey": 1}, {"o_orderkey": 1, "o_custkey": 1}, {"o_orderkey": 5, "o_custkey": 2})
+    put("lineitem", {"l_orderkey": 1, "l_suppkey": 1}, {"l_orderkey": 1, "l_suppkey": 1}, {"l_orderkey": None, "l_suppkey": 8})
+    got = [(r.entity_type, r.entity_id) for r in entities(Lake(spark, str(tmp_path))).collect()]
+    want = [("facility", "EAST"), ("facility", None), ("attorney", "UTOPIA"), ("attorney", "LOST"), ("attorney", None)]
+    want += [("case_type", "A"), ("case_type", "B"), ("case_type", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
