@@ -185,10 +185,15 @@ def _joined_blocks(member: DataFrame, payload: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "i", "j").applyInArrow(_block, "a string, b string")
 
 
-def set_groups(marked: DataFrame, key: str, buckets: str, text: str, row: str, width: int = WIDTH) -> DataFrame:
-    """(s, root) of every shingle set in ``marked``, a stored table with a number ``row`` for each row."""
+def set_groups(marked: DataFrame, key: str, buckets: str, text: str, row: str, width: int = WIDTH, more: DataFrame | None = None) -> DataFrame:
+    """(s, root) of every shingle set in ``marked``, a stored table with a number ``row`` for each row.
+
+    ``more`` (s, bucket) are buckets of sets beside those of the bands.
+    """
     sets = materialise(marked.groupBy(F.col(key).alias("s")).agg(F.min(row).alias("r"), F.first(buckets).alias("in")), "shingle-sets")
     member = sets.select("s", "r", F.explode("in").alias("bucket"))
+    if more is not None:
+        member = member.unionByName(sets.select("s", "r").join(more, "s"))
     shared = member.groupBy("bucket").agg(F.min("s").alias("hub"), F.max("s").alias("high")).where("hub <> high")
     shared = materialise(shared.select(F.col("bucket").alias("at"), "hub"), "shared-buckets")
     member = materialise(member.join(shared, F.col("bucket") == F.col("at")).select("bucket", "s", "r", "hub"), "bucket-members")

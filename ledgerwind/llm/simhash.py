@@ -212,24 +212,38 @@ def fingerprint_groups(prints: DataFrame) -> DataFrame:
     return linked.join(least, "root").select("fp", "root", "component_id")
 
 
+def _print_members(marked: DataFrame, key: str, bits: str) -> DataFrame:
+    """(s, bucket) of every shingle set: its rows' fingerprints, by the group that their links put them in."""
+    held = materialise(marked.where(F.col(key) != "0" * 32).select(F.col(key).alias("s"), F.col(bits).alias("fp")).distinct(), "set-prints")
+    parts = components(fingerprint_links(materialise(held.select("fp").distinct(), "distinct-prints")))
+    group = F.coalesce("root", "fp")
+    members = held.join(parts, held.fp == parts.node, "left").select("s", F.xxhash64(F.lit("fingerprints"), group).alias("bucket"))
+    return materialise(members.distinct(), "print-members")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the least id.
 
-    Groups join texts that share 0.8 or more of their ``width``-word shingles (``jaccard``).
-    Texts without words are one group.  Ids that are null come last, equal ids are told
-    apart by text, and of repeated rows one stays.  All columns are kept; an empty table
-    gives an empty result.
+    Groups join texts that share 0.8 or more of their ``width``-word shingles.  Candidates
+    are the groups of fingerprints linked through their anchors, as in ``near_duplicates``,
+    and, for pairs that differ in more bits, the bands of ``jaccard``; every link is then
+    counted exactly.  Texts without words are one group.  Ids that are null come last, equal
+    ids are told apart by text, and of repeated rows one stays.  All columns are kept; an
+    empty table gives an empty result.
     """
-    f, h, b, r, g, gf, wf, wh, wn, wd, many = fresh(docs, "fp", "th", "bands", "number", "group", "gfp", "wfp", "wth", "wnull", "wid", "many")
-    marked = with_sets(docs, text, width, f, b).withColumns({h: F.xxhash64(F.lit(1), text), r: F.monotonically_increasing_id()})
+    f, h, b, r, g, gf, wf, wh, wn, wd, many, p = fresh(
+        docs, "fp", "th", "bands", "number", "group", "gfp", "wfp", "wth", "wnull", "wid", "many", "print"
+    )
+    marked = with_fingerprints(with_sets(docs, text, width, f, b), text, column=p)
+    marked = marked.withColumns({h: F.xxhash64(F.lit(1), text), r: F.monotonically_increasing_id()})
     marked = materialise(marked, "shingled")
-    groups = set_groups(marked, f, b, text, r, width).select(F.col("s").alias(gf), F.col("root").alias(g))
+    groups = set_groups(marked, f, b, text, r, width, _print_members(marked, f, p)).select(F.col("s").alias(gf), F.col("root").alias(g))
     rank = F.struct(F.col(doc_id).isNull().alias("n"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.col(h).alias("h"), F.col(f).alias("f"))
     rows = marked.select(doc_id, f, h).join(groups, F.col(f) == F.col(gf))
     least = rows.groupBy(g).agg(F.min(rank).alias("w"), F.count("*").alias(many))
     chosen = materialise(least.select(F.col("w.f").alias(wf), F.col("w.h").alias(wh), F.col("w.n").alias(wn), F.col("w.d").alias(wd), many), "winners")
     same_id = (F.col(wn) & F.col(doc_id).isNull()) | (~F.col(wn) & (F.col(wd) == F.col(doc_id)))
-    left = marked.drop(b, r).join(chosen, (F.col(f) == F.col(wf)) & (F.col(h) == F.col(wh)) & same_id)
+    left = marked.drop(b, r, p).join(chosen, (F.col(f) == F.col(wf)) & (F.col(h) == F.col(wh)) & same_id)
     alone = left.where(F.col(many) == 1).select(docs.columns)
     # within larger groups only rows with the same id and text are left: one of them stays
     repeated = left.where(F.col(many) > 1).dropDuplicates([f]).select(docs.columns)

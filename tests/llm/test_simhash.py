@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerwind.llm import simhash
+from ledgerwind.llm import jaccard, simhash
 from ledgerwind.llm.components import components
 
 from .conftest import CLASHES, prose
@@ -89,3 +89,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 300)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(200, 300)} == {7} and 5 not in got
+
+
+def test_near_copies_meet_through_their_anchors(docs, monkeypatch):
+    # no bands: what is left are the groups of linked fingerprints, counted exactly
+    monkeypatch.setattr(jaccard, "bands", lambda hashes: [])
+    rows = [(1, prose(1, 300)), (2, prose(1, 300) + " end"), (3, prose(4, 300)), (4, prose(4, 300) + " end one"), (5, prose(2, 60))]
+    near = [(plain_fingerprint(rows[i][1]) ^ plain_fingerprint(rows[i + 1][1])).bit_count() <= 3 for i in (0, 2)]
+    assert near == [True, True]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(rows, **CLASHES)).collect()) == [1, 3, 5]
+
+
+def test_linked_fingerprints_of_unlike_texts_stay(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, width=3: 7)
+    rows = [(1, prose(1, 300)), (2, prose(1, 300) + " end"), (3, prose(4, 300)), (4, prose(5, 300))]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(rows)).collect()) == [1, 3, 4]
