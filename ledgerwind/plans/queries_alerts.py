@@ -84,11 +84,12 @@ def _vectors(lake: Lake) -> DataFrame:
     return rounded(vectors, {"collections_1d": 4, "lop_turnaround_days_p50": 4})
 
 
-def entity_vectors(lake: Lake) -> DataFrame:
+def entity_vectors(lake: Lake, lop: DataFrame | None = None) -> DataFrame:
     """Vectors from the daily totals alone: the forest reads no other facility feature."""
     daily = ft.daily_collections(business.collections(lake, *qf.FACILITY), ["facility_id"])
     dense = densify(daily, ["facility_id"], "event_date", ["collections_1d"])
-    return detect.facility_vectors(dense, qf.lop_features(lake)).withColumnRenamed("facility_id", "entity_id")
+    lop = qf.lop_features(lake) if lop is None else lop
+    return detect.facility_vectors(dense, lop).withColumnRenamed("facility_id", "entity_id")
 
 
 # the forest again, one statement per level: nodes by grouping, rows by a join with their node
@@ -191,12 +192,11 @@ FROM combined_v c JOIN driver_v USING (entity_type, entity_id),
 
 def alerts(lake: Lake, with_forest: bool = False, series: DataFrame | None = None) -> DataFrame:
     series = stored_series(lake) if series is None else series
-    found = findings(lake, series)
+    found, lop = findings(lake, series), qf.lop_features(lake)
     if with_forest:
-        found = found.unionByName(iforest.isolation_forest(entity_vectors(lake), VECTOR, OVERRIDES))
-    return al.alert_rows(
-        al.combine(found), qf.settlement_features(lake), qf.lop_features(lake), qc.run_date(lake).cast("timestamp")
-    )
+        lop = materialise(lop, "lop-features")  # the forest and the narratives read it
+        found = found.unionByName(iforest.isolation_forest(entity_vectors(lake, lop), VECTOR, OVERRIDES))
+    return al.alert_rows(al.combine(found), qf.settlement_features(lake), lop, qc.run_date_of(series).cast("timestamp"))
 
 
 @register(

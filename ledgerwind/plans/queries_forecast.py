@@ -33,6 +33,11 @@ def run_date(lake: Lake) -> Column:
     return business.collections(lake, "collection_date").agg(F.date_add(F.max("collection_date"), 1)).scalar()
 
 
+def run_date_of(series: DataFrame) -> Column:
+    """:func:`run_date` from the series of all entities, whose last day is that of the last collection."""
+    return series.agg(F.date_add(F.max("ds"), 1)).scalar()
+
+
 def forecasts(lake: Lake) -> DataFrame:
     return fc.forecast_batch(models(lake), run_date(lake))
 

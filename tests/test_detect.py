@@ -206,3 +206,35 @@ def test_acknowledge_only_open_alerts(spark):
     again = alerts.acknowledge(after.drop("changed"), acks)
     assert again.filter("changed").isEmpty()
     assert again.filter("status = 'acknowledged'").first().acknowledged_by == "sam"
+
+
+def test_a_sweep_reads_the_letters_once_and_dates_itself_by_the_series(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from ledgerwind.plans import queries_alerts as qa
+
+    for name in ("findings", "detect", "iforest", "al", "business", "densify"):
+        monkeypatch.setattr(qa, name, MagicMock())
+    monkeypatch.setattr(qa, "ft", MagicMock(), raising=False)
+    monkeypatch.setattr(qa, "materialise", lambda frame, name: frame)
+    lop, scan = MagicMock(), MagicMock()
+    monkeypatch.setattr(qa.qf, "lop_features", lop)
+    monkeypatch.setattr(qa.qf, "settlement_features", MagicMock())
+    monkeypatch.setattr(qa.qc, "run_date", scan)
+    qa.alerts(MagicMock(), with_forest=True, series=MagicMock())
+    assert lop.call_count == 1 and not scan.called
+
+
+def test_run_date_of_the_series_is_that_of_the_collections(spark):
+    import datetime as dt
+
+    from ledgerwind.operators import forecast as fc
+    from ledgerwind.plans import queries_forecast as qc
+
+    day = lambda d: dt.date(2025, 1, d) if d else None
+    for days in ([3, 1, 9, None], [None], [5, 5], []):
+        rows = [("f", None, "c", day(d), 1.0) for d in days]
+        frame = spark.createDataFrame(rows, "facility_id string, attorney_id string, case_type string, collection_date date, amount_collected double")
+        series = fc.dense_series(fc.daily_totals(frame))
+        last = max((d for d in days if d), default=None)
+        assert spark.range(1).select(qc.run_date_of(series)).first()[0] == (day(last + 1) if last else None)
