@@ -20,7 +20,7 @@ from ledgerwind.sources.tables import Lake
 
 def corpus(lake: Lake) -> DataFrame:
     series = qa.stored_series(lake)
-    forecasts = fc.forecast_batch(fc.fit_seasonal_trend(series.filter("n >= 30"), fc.ENTITY), qc.run_date(lake), [30])
+    forecasts = fc.forecast_batch(fc.fit_seasonal_trend(series.filter("n >= 30"), fc.ENTITY), qc.run_date_of(series), [30])
     facility = store.latest(qf.facility_features(lake).drop("mom_growth_to_date"), ["facility_id"])
     attorney = store.latest(qf.aging_features(lake), ["attorney_id"])
     return rt.build_corpus(facility, attorney, fc.latest_forecast(forecasts, 30), al.deliverable(qa.alerts(lake, series=series)))
@@ -106,7 +106,8 @@ def _match(lake: Lake) -> DataFrame:
 @register("question_hits", "SELECT question_id, source_doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM hits_v")
 def _hits(lake: Lake) -> DataFrame:
     index = stored_index(lake)
-    return rt.retrieve(screened(lake, index), index).withColumn("score", F.round("score", 6))
+    asked = materialise(screened(lake, index), "screened")
+    return rt.retrieve(asked, index).withColumn("score", F.round("score", 6))
 
 
 def answers(lake: Lake) -> DataFrame:

@@ -204,3 +204,17 @@ def test_entities_of_repeated_and_unknown_keys(spark, tmp_path):
     want = [("facility", "EAST"), ("facility", None), ("attorney", "UTOPIA"), ("attorney", "LOST"), ("attorney", None)]
     want += [("case_type", "A"), ("case_type", "B"), ("case_type", None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_question_hits_screens_the_questions_once(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from ledgerwind.plans import queries_retrieval as qr
+
+    stored = {}
+    monkeypatch.setattr(qr, "stored_index", MagicMock())
+    monkeypatch.setattr(qr, "screened", lambda lake, index: "asked")
+    monkeypatch.setattr(qr, "materialise", lambda frame, name: stored.setdefault(frame, f"stored {frame}"))
+    monkeypatch.setattr(qr.rt, "retrieve", found := MagicMock())
+    qr._hits(MagicMock())
+    assert found.call_args.args[0] == "stored asked"
