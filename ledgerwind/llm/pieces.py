@@ -46,6 +46,7 @@ BLANK = "▁"
 BLOCK_BYTES = 32 << 20
 LISTED_BITS = 33 + 12  # block numbers that differ in these bits only (4,096 writing tasks) share a list
 REPLY_UNITS = 1 << 18  # unit places that are packed into replies at once
+SENT_UNITS = 1 << 15  # units that a block sends at once
 LONGEST = 62  # characters of a unit whose boundaries fit the mask
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -202,8 +203,14 @@ class Model:
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """(piece, id, rank, score, inside) of the normal pieces; as many rows as the model has."""
     inside = model.contained if model.kind == BPE else set()
-    rows = [(piece, k, model.ranks[piece], float(model.pieces[k][1]), int(piece in inside)) for piece, k in model.ids.items()]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, score double, inside int")
+    columns = {
+        "piece": pa.array(list(model.ids), pa.string()),
+        "id": pa.array(list(model.ids.values()), pa.int32()),
+        "rank": pa.array([model.ranks[piece] for piece in model.ids], pa.int32()),
+        "score": pa.array([model.pieces[k][1] for k in model.ids.values()], pa.float64()),
+        "inside": pa.array([int(piece in inside) for piece in model.ids], pa.int32()),
+    }
+    return spark.createDataFrame(pa.table(columns))  # from Arrow: rows would keep Python workers on every executor
 
 
 def _spans(units: DataFrame, model: Model, least: int, carried: list[str]) -> DataFrame:
@@ -419,6 +426,8 @@ def _reply(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 held, size = [], 0
         if held:
             yield from flush(held)
+        held.clear()
+        _give_back()
 
     return pack
 
@@ -431,7 +440,7 @@ def _written(parts: list[np.ndarray]) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(raw, asbytes=True)
 
 
-def _read(value: bytes) -> list[np.ndarray]:
+def _read(value: pa.Buffer) -> list[np.ndarray]:
     raw = pa.Codec("zstd").decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
     kinds = (np.int32, np.int32, np.int8, np.int32)
     counts, at, out = np.frombuffer(raw, np.int32, len(kinds)).tolist(), 4 * len(kinds), []
@@ -446,9 +455,9 @@ def _read(value: bytes) -> list[np.ndarray]:
 class _Known:
     """The ids of a block's units by their numbers."""
 
-    def __init__(self, model: Model, replies: list[bytes]):
+    def __init__(self, model: Model, replies: pa.ListScalar):
         self.model, self.numbers = model, _Numbers()
-        read = [_read(r) for r in replies]
+        read = [_read(r.as_buffer()) for r in replies.values or []]
         numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(r[0], dtype=np.int64) for r in read)])
         sizes = np.concatenate([np.zeros(0, np.int64), *(r[1] for r in read)])
         self.ids = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in read)])
@@ -492,35 +501,53 @@ class _Known:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())
 
 
-def _pack(text: str):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+class _Packer:
+    """One block, compressed as its parts come: only their compressed bytes are held."""
+
+    def __init__(self, schema: pa.Schema):
+        self.sink = pa.BufferOutputStream()
+        self.writer = pa.ipc.new_stream(self.sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6)))
+        self.size = 0
+
+    def add(self, part: pa.RecordBatch, text: str) -> None:
+        self.writer.write_batch(part)
+        self.size += part.column(text).nbytes
+
+    def packed(self) -> pa.RecordBatch:
+        self.writer.close()
+        value = self.sink.getvalue()
+        offsets = pa.py_buffer(np.array([0, value.size], np.int32))
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, offsets, value])], names=["packed"])
 
-        def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
-                for part in held:
-                    writer.write_batch(part)
-            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
 
+def _pack(text: str):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 # a copy: a slice would be written with its whole parent
                 part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema)
-                held.append(part)
-                size += part.column(text).nbytes
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                block = block or _Packer(part.schema)
+                block.add(part, text)
+                if block.size >= BLOCK_BYTES:
+                    yield block.packed()
+                    block = None
+        if block:
+            yield block.packed()
+        del block
+        _give_back()
 
     return pack
 
 
-def _unpacked(value: bytes) -> Iterator[pa.RecordBatch]:
-    with pa.ipc.open_stream(value) as reader:
+def _give_back() -> None:
+    """Frees what Arrow keeps for later: a worker stays alive beside the JVM of its executor."""
+    pa.default_memory_pool().release_unused()
+
+
+def _unpacked(value: pa.BinaryScalar) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(value.as_buffer()) as reader:
         yield from reader
 
 
@@ -544,30 +571,41 @@ def encode(docs: DataFrame, model: Model, text: str = "text", drop_text: bool =
 
     schema = "block long, number int, unit string"
 
+    def sent(block: int, fresh: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        some = [(k, u) for k, u in fresh if model.kind != BPE or len(u) <= LONGEST]
+        for at in range(0, len(some), SENT_UNITS):
+            numbers, units = zip(*some[at : at + SENT_UNITS])
+            columns = [pa.array([block] * len(units), pa.int64()), pa.array(numbers, pa.int32()), pa.array(units, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "unit"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = model.units.findall
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
-                numbers = _Numbers()
-                for part in _unpacked(packed.as_py()):
+                numbers, fresh = _Numbers(), []
+                for part in _unpacked(packed):
                     for value in part.column(text).to_pylist():
                         for unit in dict.fromkeys(find(model.escaped(value or ""))):
-                            numbers[unit]
-                sent = [(k, u) for k, u in enumerate(numbers) if model.kind != BPE or len(u) <= LONGEST]
-                for at in range(0, len(sent), 65536):
-                    some = sent[at : at + 65536]
-                    columns = [pa.array([block] * len(some), pa.int64()), pa.array([k for k, _ in some], pa.int32()), pa.array([u for _, u in some])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "unit"])
+                            if unit not in numbers:
+                                fresh.append((numbers[unit], unit))
+                        if len(fresh) >= SENT_UNITS:
+                            yield from sent(block, fresh)
+                            fresh = []
+                yield from sent(block, fresh)
+                del numbers, fresh
+        _give_back()
 
     kept = [n for n in docs.columns if not (drop_text and n == text) and n not in ("pieces", "round_trip")]
 
     def map_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                known = _Known(model, batch.column("replies")[row].as_py() or [])
-                for part in _unpacked(batch.column("packed")[row].as_py()):
+                known = _Known(model, batch.column("replies")[row])
+                for part in _unpacked(batch.column("packed")[row]):
                     columns = [*(part.column(n) for n in kept), *known.encoded([t or "" for t in part.column(text).to_pylist()])]
                     yield pa.RecordBatch.from_arrays(columns, names=[*kept, "pieces", "round_trip"])
+                del known
+        _give_back()
 
     packed = docs.mapInArrow(_pack(text), "packed binary").withColumn("block", F.monotonically_increasing_id())
     blocks = _stored(packed)

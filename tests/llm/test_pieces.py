@@ -100,3 +100,25 @@ def test_late_better_piece_is_merged_before_later_ones(spark):
     got = {r.unit: model.resolved(r.ids) for r in pieces.encoded_units(spark.createDataFrame([(u,) for u in units], "unit string"), model).collect()}
     assert got == {u: model.merged(u) for u in units}
     assert got["abcde"] == [model.ids["abcd"], model.ids["e"]]
+
+
+def test_a_block_is_held_compressed_and_the_piece_table_needs_no_python_workers(spark):
+    import pyarrow as pa
+
+    text = " ".join(str(k) for k in range(20_000))
+    base, grown = pa.total_allocated_bytes(), []
+
+    def batches():
+        for k in range(256):
+            grown.append(pa.total_allocated_bytes() - base)
+            yield pa.record_batch({"doc_id": pa.array([k]), "text": pa.array([text])})
+
+    blocks = [b.column("packed")[0] for b in pieces._pack("text")(batches())]
+    assert max(grown) < pieces.BLOCK_BYTES // 2
+    rows = [r for b in blocks for part in pieces._unpacked(b) for r in part.to_pylist()]
+    assert rows == [{"doc_id": k, "text": text} for k in range(256)]
+    model = pieces.Model(pieces.BPE, (("<unk>", 0.0, pieces.UNKNOWN), ("a", -1.0, pieces.NORMAL), ("b", -2.0, pieces.NORMAL), ("ab", -0.5, pieces.NORMAL)))
+    table = pieces.piece_table(spark, model)
+    assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+    assert sorted(map(tuple, table.collect())) == [("a", 1, 1, -1.0, 0), ("ab", 3, 0, -0.5, 0), ("b", 2, 2, -2.0, 0)]
+    assert table.schema.simpleString() == "struct<piece:string,id:int,rank:int,score:double,inside:int>"
