@@ -127,6 +127,8 @@ def hash_embedding(frame: DataFrame, key: str, text: str) -> DataFrame:
 
 def embed_text(frame: DataFrame, key: str, text: str) -> DataFrame:
     """The same embedding as one dense ``array<double>`` per key, from the same gathered cells."""
-    cells = _counted(frame, key, text).withColumn("cells", F.map_from_entries("cells"))
-    weight = lambda b: F.coalesce(F.col("cells")[b] / F.col("norm"), F.lit(0.0))
-    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(fv.EMBEDDING_DIM - 1)), weight).alias("vector"))
+    buckets = F.sequence(F.lit(0), F.lit(fv.EMBEDDING_DIM - 1))
+    # bound by an outer lambda: as a column Spark would make the map and the norm again for every bucket
+    once = F.array(F.struct(F.map_from_entries("cells").alias("n"), F.col("norm").alias("norm")))
+    dense = F.transform(once, lambda c: F.transform(buckets, lambda b: F.coalesce(c["n"][b] / c["norm"], F.lit(0.0))))
+    return _counted(frame, key, text).select(key, dense[0].alias("vector"))

@@ -160,6 +160,9 @@ _ROWS_AT_ONCE = 256
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    whole = pa.concat_arrays(vectors.chunks)
+    if whole.null_count == 0 and len(set(whole.value_lengths().to_numpy())) == 1:  # without an object per number
+        return whole.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(whole), -1)
     return np.array(vectors.to_pylist(), dtype=float).reshape(len(vectors), -1)
 
 
@@ -227,7 +230,9 @@ def _blocks(held: DataFrame, block_rows: int) -> DataFrame:
     """``held`` with ``unit`` (its vector at length one) and the ``block`` it belongs to.
 
     Vectors that point the same way share a block: those with the same heaviest bucket,
-    split by the second heaviest where they are too many, and by hash beyond that.
+    split by the second heaviest where they are too many, and by hash beyond that.  No more
+    rows than one block holds are one block, if all are finite and of one length: a question
+    then meets them once.
     """
     heaviest = F.array_sort(F.transform("unit", lambda x, i: F.struct((-F.abs(x)).alias("w"), i.alias("i"))))
     rows = _with_unit(held).withColumn("_heavy", heaviest)
@@ -238,7 +243,10 @@ def _blocks(held: DataFrame, block_rows: int) -> DataFrame:
     same = F.col("_b1").eqNullSafe(F.col("_c1")) & F.col("_b2").eqNullSafe(F.col("_c2"))
     lot = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n2") / block_rows))
     block = F.concat_ws(":", "_b1", F.when(F.col("_n1") > block_rows, F.concat_ws(":", "_b2", lot)))
-    return rows.join(sizes, same).select(*held.columns, "unit", block.alias("block"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    alike = F.bool_and(F.coalesce(finite, F.lit(False))) & (F.min(F.size("vector")) == F.max(F.size("vector"))) & (F.min(F.size("vector")) > 0)
+    whole = held.agg((F.count("*") <= block_rows) & F.coalesce(alike, F.lit(False))).scalar()
+    return rows.join(sizes, same).select(*held.columns, "unit", F.when(whole, "all").otherwise(block).alias("block"))
 
 
 def _cells(vector: str) -> Column:
@@ -252,9 +260,9 @@ def _cells(vector: str) -> Column:
 
 
 def _with_unit(frame: DataFrame) -> DataFrame:
-    """``unit``, the vector at length one; the length is a column, so that it is taken once."""
-    unit = F.transform("vector", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(0.0))
-    return frame.withColumn("_length", _length("vector")).withColumn("unit", unit).drop("_length")
+    """``unit``, the vector at length one; the length is bound by an outer lambda, so that it is taken once."""
+    unit = lambda n: F.transform("vector", lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return frame.withColumn("unit", F.transform(F.array(_length("vector")), unit)[0])
 
 
 def _bounds(asked: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -46,11 +46,11 @@ END"""
 
 def questions(lake: Lake) -> DataFrame:
     geo = geography(lake)
-    customer = lake.table("customer")
+    customer = lake.spread("customer")  # every text is scanned and cut into pieces
     asked = customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left").selectExpr(
         "concat('c-', c_custkey) AS question_id", f"{CUSTOMER_QUESTION} AS question"
     )
-    said = lake.table("conversations").filter("role = 'user'").selectExpr(
+    said = lake.spread("conversations").filter("role = 'user'").selectExpr(
         "concat('t-', conv_id, '-', turn) AS question_id", "text AS question"
     )
     return asked.unionByName(said)

@@ -218,3 +218,56 @@ def test_question_hits_screens_the_questions_once(monkeypatch):
     monkeypatch.setattr(qr.rt, "retrieve", found := MagicMock())
     qr._hits(MagicMock())
     assert found.call_args.args[0] == "stored asked"
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_are_dealt_over_the_cores(spark, tmp_path):
+    from ledgerwind.sources.questions import questions
+    from ledgerwind.sources.tables import SCHEMAS, Lake
+
+    rows = {
+        "region": [(0, "ASIA")], "nation": [(0, "CHINA", 0)],
+        "customer": [(i % 50, f"C{i}", None if i == 7 else 0, 1.0, "AUTO") for i in range(100)] + [(None, None, 0, 1.0, None)],
+        "conversations": [(i, 1, "user", f"text {i}") for i in range(30)] + [(None, None, "user", None), (1, 2, "assistant", "no")],
+    }
+    for name, held in rows.items():
+        spark.createDataFrame(held, SCHEMAS[name]).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = questions(Lake(spark, str(tmp_path)))
+    assert asked.count() == 132
+    assert asked.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_few_documents_are_one_block(spark):
+    rng = np.random.default_rng(5)
+    d, q = np.abs(rng.normal(size=(40, 12))), np.abs(rng.normal(size=(9, 12)))
+    docs = spark.createDataFrame([(f"d{i:02}", [float(x) for x in v]) for i, v in enumerate(d)], "doc_id string, vector array<double>")
+    asked = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(q)], "question_id string, vector array<double>")
+    hits, _, done = rt.search_plan(asked, docs, 5, block_rows=40)
+    assert (done.count(), done.agg(rt.F.sum("rows")).first()[0]) == (9, 360)
+    assert hits.count() == 45
+    assert rt.search_plan(asked, docs, 5, block_rows=39)[2].count() > 9
+    odd = spark.createDataFrame([("x", None), ("y", [])], docs.schema)
+    got = rt.search(asked.withColumn("entity_filter", rt.F.lit(None).cast("string")), docs.unionByName(odd).withColumn("entity_id", rt.F.lit("e")), 5)
+    assert {(r.question_id, r.doc_id) for r in got.filter("rank = 1").collect()} == {(r.question_id, r.doc_id) for r in hits.withColumn("n", rt.F.max("score").over(rt.Window.partitionBy("question_id"))).filter("score = n").collect()}
+    assert rt._blocks(docs.unionByName(odd), 50).select("block").distinct().count() > 1
+
+
+def test_lengths_are_taken_once_a_text(spark):
+    frame = spark.createDataFrame([("a", "x y y"), ("b", "")], "k string, t string")
+    rows = embed_text(frame, "k", "t")
+    assert sorted(x for x in rows.first().vector if x) == [1 / 5**0.5, 2 / 5**0.5]
+    assert "lambdafunction" not in plan(rows).partition("map_from_entries")[0]
+    units = rt._with_unit(spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "vector array<double>"))
+    assert [r.unit for r in units.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert "CASE WHEN" in plan(units) and "sqrt" not in plan(units).partition("CASE WHEN")[2]
+
+
+def test_matrix_of_vectors():
+    chunks = rt.pa.chunked_array([[[1.0, None], [2.0, 3.0]], [[4.0, 5.0]]])
+    got = rt._matrix(chunks.slice(1))
+    assert got.tolist() == [[2.0, 3.0], [4.0, 5.0]] and np.isnan(rt._matrix(chunks)[0, 1])
+    with pytest.raises(ValueError):
+        rt._matrix(rt.pa.chunked_array([[[1.0], [1.0, 2.0, 3.0]]]))
