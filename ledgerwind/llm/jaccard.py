@@ -19,14 +19,14 @@ many texts costs one pass over its bucket however many of them are different.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
 from ledgerwind.llm.components import components
 from ledgerwind.session import materialise
@@ -36,6 +36,7 @@ SHARE = (4, 5)  # 0.8, as a fraction
 BANDS, ROWS = 32, 5
 LIKELY = 0.6  # share of equal minima below which a pair is not counted: 6 deviations below 0.8
 BLOCK_ROWS = 1024
+TEXTS_AT_ONCE = 1024  # of a batch: whole texts and their buckets are held for so many rows
 SEED = 42
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
@@ -82,21 +83,26 @@ def alike(one: np.ndarray, two: np.ndarray) -> bool:
     return SHARE[1] * both >= SHARE[0] * (len(one) + len(two) - both)
 
 
-def with_sets(docs: DataFrame, text: str, width: int, key: str, buckets: str) -> DataFrame:
-    """All columns of ``docs``, the key of the text's shingle set, and its buckets."""
-    schema = StructType([*docs.schema.fields, StructField(key, StringType()), StructField(buckets, ArrayType(LongType()))])
+def set_columns(text: str, width: int, key: str, buckets: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the key of the text's shingle set and its buckets to batches, ``TEXTS_AT_ONCE`` rows at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-            for value in batch.column(text).to_pylist():
-                hashes = shingles(value, width)
-                keys.append(set_key(hashes))
-                found.append(bands(hashes))
-            columns = [*batch.columns, pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, key, buckets])
-
-    return docs.mapInArrow(add, schema)
+        for whole in batches:
+            for batch in (whole.slice(at, TEXTS_AT_ONCE) for at in range(0, len(whole), TEXTS_AT_ONCE)):
+                keys, found = [], []
+                for value in batch.column(text).to_pylist():
+                    hashes = shingles(value, width)
+                    keys.append(set_key(hashes))
+                    found.append(bands(hashes))
+                columns = [*batch.columns, pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, key, buckets])
+
+    return add
+
+
+def set_fields(key: str, buckets: str) -> list[StructField]:
+    """The columns that :func:`set_columns` adds."""
+    return [StructField(key, StringType()), StructField(buckets, ArrayType(LongType()))]
 
 
 def _payload(width: int):

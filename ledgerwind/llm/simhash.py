@@ -11,7 +11,7 @@ Two times 2^27 anchors keep the groups small; groups with many own rows are deal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerwind.llm.components import components
-from ledgerwind.llm.jaccard import WIDTH, set_groups, with_sets
+from ledgerwind.llm.jaccard import WIDTH, set_columns, set_fields, set_groups
 from ledgerwind.llm.names import fresh
 from ledgerwind.session import materialise
 
@@ -53,16 +53,33 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(whole), bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 3, column: str = "fingerprint_bits") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint of the whole text as a long."""
-    schema = StructType([*docs.schema.fields, StructField(column, LongType())])
+def print_column(text: str, width: int, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the fingerprint of the whole text to batches."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array([fingerprint(t, width) for t in batch.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(add, schema)
+    return add
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", width: int = 3, column: str = "fingerprint_bits") -> DataFrame:
+    """All columns of ``docs`` and the fingerprint of the whole text as a long."""
+    return docs.mapInArrow(print_column(text, width, column), StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+
+def with_sets_and_fingerprints(docs: DataFrame, text: str, width: int, key: str, buckets: str, column: str) -> DataFrame:
+    """All columns of ``docs``, the key and buckets of the text's shingle set, and its fingerprint.
+
+    One pass: two in a row would keep two Python workers busy for every task.
+    """
+    sets, prints = set_columns(text, width, key, buckets), print_column(text, 3, column)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from prints(sets(batches))
+
+    return docs.mapInArrow(add, StructType([*docs.schema.fields, *set_fields(key, buckets), StructField(column, LongType())]))
 
 
 def _syndrome_tables() -> np.ndarray:
@@ -234,7 +251,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     f, h, b, r, g, gf, wf, wh, wn, wd, many, p = fresh(
         docs, "fp", "th", "bands", "number", "group", "gfp", "wfp", "wth", "wnull", "wid", "many", "print"
     )
-    marked = with_fingerprints(with_sets(docs, text, width, f, b), text, column=p)
+    marked = with_sets_and_fingerprints(docs, text, width, f, b, p)
     marked = marked.withColumns({h: F.xxhash64(F.lit(1), text), r: F.monotonically_increasing_id()})
     marked = materialise(marked, "shingled")
     groups = set_groups(marked, f, b, text, r, width, _print_members(marked, f, p)).select(F.col("s").alias(gf), F.col("root").alias(g))

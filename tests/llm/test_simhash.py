@@ -104,3 +104,16 @@ def test_linked_fingerprints_of_unlike_texts_stay(docs, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprint", lambda text, width=3: 7)
     rows = [(1, prose(1, 300)), (2, prose(1, 300) + " end"), (3, prose(4, 300)), (4, prose(5, 300))]
     assert sorted(r.doc_id for r in simhash.keep_one(docs(rows)).collect()) == [1, 3, 4]
+
+
+def test_texts_are_read_by_one_python_pass(docs, monkeypatch):
+    frames, store = {}, simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda frame, name: frames.setdefault(name, frame) and store(frame, name))
+    monkeypatch.setattr(jaccard, "TEXTS_AT_ONCE", 4)
+    kept = simhash.keep_one(docs(ROWS, **CLASHES)).collect()
+    plan = frames["shingled"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    # two passes one after the other, on whole batches
+    rows = {r.text: (r["key"], r["buckets"], r["print"]) for r in simhash.with_sets_and_fingerprints(docs(ROWS), "text", 5, "key", "buckets", "print").collect()}
+    assert rows == {t: (jaccard.set_key(h), jaccard.bands(h), simhash.fingerprint(t)) for t, h in ((t, jaccard.shingles(t)) for _, t in ROWS)}
+    assert len(kept) == len({(r.doc_id, r.text) for r in kept})
