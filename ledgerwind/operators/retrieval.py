@@ -376,13 +376,19 @@ def answer(screened: DataFrame, hits: DataFrame, index: DataFrame, context_k: in
     """One row per question: reason, answer, context lines and citations.
 
     At most ``context_k`` hits per question are gathered, so the grouped lists
-    are of fixed size.
+    are of fixed size.  An answer is a document's extract or a fixed text, so the output
+    scan runs once for each of those and not for every question.
     """
-    described = hits.filter(F.col("rank") <= context_k).join(
-        index.select("source_doc_id", "date", "entity_id", "entity_type", "text"), "source_doc_id"
+    extract = F.concat("text", F.lit(" [Source: "), "source_doc_id", F.lit(", "), F.date_format("date", "yyyy-MM-dd"), F.lit("]"))
+    documents = index.select("source_doc_id", "date", "entity_id", "entity_type", "text", extract.alias("extract"))
+    scan = F.struct("redacted_text", "phi_matches").alias("scan")
+    described = hits.filter(F.col("rank") <= context_k).join(phi.scan_output(documents, "extract").select("*", scan), "source_doc_id")
+    fixed = lambda said: phi.scan_output(index.sparkSession.range(1).select(F.lit(said).alias("said")), "said").select(scan).scalar()
+    hit = ["rank", "source_doc_id", "date", "entity_id", "entity_type", "score", "text"]
+    gathered = described.groupBy("question_id").agg(
+        F.sort_array(F.collect_list(F.struct(*hit))).alias("hits"),
+        F.min(F.struct(*hit, "scan")).alias("top"),  # apart from the list, so that it is left out where no answer is asked for
     )
-    hit = F.struct("rank", "source_doc_id", "date", "entity_id", "entity_type", "score", "text")
-    gathered = described.groupBy("question_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     day = lambda h: F.date_format(h["date"], "yyyy-MM-dd")
     line = lambda h: F.concat(F.lit("["), h["source_doc_id"], F.lit(" | "), day(h), F.lit("] "), h["text"])
     cite = lambda h: F.struct(
@@ -391,20 +397,17 @@ def answer(screened: DataFrame, hits: DataFrame, index: DataFrame, context_k: in
     )
     joined = screened.join(gathered, "question_id", "left").withColumn("top_score", F.col("hits")[0]["score"])
     judged = joined.withColumn("reason", gate_reason()).withColumn("grounded", F.col("reason").isin(*GROUNDED))
-    top = F.col("hits")[0]
-    extract = F.concat(top["text"], F.lit(" [Source: "), top["source_doc_id"], F.lit(", "), day(top), F.lit("]"))
-    raw = F.when(F.col("grounded"), extract).when(F.col("phi_label").isNotNull(), fv.BLOCKED).otherwise(fv.INSUFFICIENT)
+    said = F.when(F.col("grounded"), F.col("top.scan")).when(F.col("phi_label").isNotNull(), fixed(fv.BLOCKED)).otherwise(fixed(fv.INSUFFICIENT))
     nothing = F.array()
     staged = judged.withColumns(
         {
-            "raw_answer": raw,
+            "said": said,
             "context": F.when(F.col("grounded"), F.array_join(F.transform("hits", line), "\n")),
             "citations": F.when(F.col("grounded"), F.transform("hits", cite)),
             "sources": F.coalesce(F.transform("hits", lambda h: h["source_doc_id"]), F.array().cast("array<string>")),
         }
     )
-    scanned = phi.scan_output(staged, "raw_answer")
-    return scanned.select(
+    return staged.select(
         "question_id",
         "question",
         "entity_filter",
@@ -412,9 +415,9 @@ def answer(screened: DataFrame, hits: DataFrame, index: DataFrame, context_k: in
         F.col("phi_label").isNotNull().alias("blocked"),
         F.when(F.col("grounded"), "grounded").when(F.col("phi_label").isNotNull(), "skipped").otherwise("insufficient").alias("status"),
         F.coalesce("top_score", F.lit(0.0)).alias("top_score"),
-        F.col("redacted_text").alias("answer"),
-        F.col("phi_detected").alias("phi_redacted"),
-        "phi_matches",
+        F.col("said.redacted_text").alias("answer"),
+        (F.size("said.phi_matches") > 0).alias("phi_redacted"),
+        F.col("said.phi_matches").alias("phi_matches"),
         "context",
         "sources",
         F.coalesce("citations", nothing.cast(staged.schema["citations"].dataType)).alias("citations"),

@@ -271,3 +271,21 @@ def test_matrix_of_vectors():
     assert got.tolist() == [[2.0, 3.0], [4.0, 5.0]] and np.isnan(rt._matrix(chunks)[0, 1])
     with pytest.raises(ValueError):
         rt._matrix(rt.pa.chunked_array([[[1.0], [1.0, 2.0, 3.0]]]))
+
+
+def test_the_output_scan_runs_once_a_document(spark, corpus, monkeypatch):
+    seen, scan = [], rt.phi.scan_output
+    monkeypatch.setattr(rt.phi, "scan_output", lambda frame, text: seen.append(frame) or scan(frame, text))
+    screened = spark.createDataFrame(
+        [(f"q{k:03}", f"question {k}", "facility", None, True) for k in range(200)] + [("p", "blocked", None, "SSN", True), ("n", "none", None, None, False)],
+        "question_id string, question string, entity_filter string, phi_label string, relevant boolean",
+    )
+    ids = sorted(r.source_doc_id for r in corpus.collect())
+    hits = spark.createDataFrame([(f"q{k:03}", ids[(k + n) % len(ids)], 0.5, n + 1) for k in range(200) for n in range(2)], "question_id string, source_doc_id string, score double, rank int")
+    rows = {r.question_id: r for r in rt.answer(screened, hits, corpus).collect()}
+    assert sum(frame.count() for frame in seen) <= len(ids) + 2
+    texts = {r.source_doc_id: f"{r.text} [Source: {r.source_doc_id}, {r.date}]" for r in corpus.collect()}
+    want = spark.createDataFrame([(f"q{k:03}", texts[ids[k % len(ids)]]) for k in range(200)] + [("p", rt.fv.BLOCKED), ("n", rt.fv.INSUFFICIENT)], "question_id string, raw string")
+    for r in scan(want, "raw").collect():
+        got = rows[r.question_id]
+        assert (got.answer, got.phi_redacted, got.phi_matches) == (r.redacted_text, r.phi_detected, r.phi_matches)
