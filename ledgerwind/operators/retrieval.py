@@ -24,6 +24,7 @@ from ledgerwind.functions.text import (
 from ledgerwind.session import materialise
 
 BLOCK_ROWS = 8192
+PLACES_AT_ONCE = 64  # places of a question that share one stretch of its text
 
 
 def _document(doc_id: Column, entity_type: Column, entity_id: Column, date: Column, text: Column, **metadata: Column) -> list[Column]:
@@ -135,7 +136,9 @@ def match_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     question the pieces of those lengths are looked up among the heads; only where one is
     found are the pieces looked up that are as long as the names with that head.  Names
     are stored first: Spark then knows their size, and while it is small enough to be
-    broadcast no piece is shuffled.
+    broadcast no piece is shuffled.  A question is first cut into stretches of bounded
+    length, each with the characters that a name begun in it may still take: a piece is
+    found by counting characters from the start of its stretch, not of the question.
     """
     names = entities.select("entity_id", normalise_entity(F.col("entity_id")).alias("_name")).filter("_name <> ''").distinct()
     names = materialise(names, "entity-names")
@@ -143,9 +146,14 @@ def match_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     heads = names.select(F.substring(F.col("_name"), F.lit(1), head).alias("_head"), F.length("_name").alias("_size"))
     heads = heads.groupBy("_head").agg(F.collect_set("_size").alias("_sizes"))
     widths = names.agg(F.collect_set(head)).scalar()
-    asked = questions.select("question_id", normalise_entity(F.col("question")).alias("_asked"))
-    placed = asked.select("question_id", "_asked", F.explode(widths).alias("_width")).filter(F.length("_asked") >= F.col("_width"))
-    placed = placed.select("*", F.explode(F.sequence(F.lit(1), F.length("_asked") - F.col("_width") + 1)).alias("_at"))
+    longest = names.agg(F.max(F.length("_name"))).scalar()
+    step = F.greatest(F.lit(PLACES_AT_ONCE), longest)
+    asked = questions.select("question_id", normalise_entity(F.col("question")).alias("_whole"))
+    cut = asked.select("question_id", "_whole", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_whole") - 1, F.lit(0)), step)).alias("_start"))
+    cut = cut.select("question_id", F.substring(F.col("_whole"), F.col("_start") + 1, step + longest - 1).alias("_asked"))
+    placed = cut.select("question_id", "_asked", F.explode(widths).alias("_width")).filter(F.length("_asked") >= F.col("_width"))
+    last = F.least(step, F.length("_asked") - F.col("_width") + 1)
+    placed = placed.select("*", F.explode(F.sequence(F.lit(1), last)).alias("_at"))
     opened = placed.withColumn("_head", F.substring(F.col("_asked"), F.col("_at"), F.col("_width"))).join(heads, "_head")
     pieces = opened.select("question_id", "_asked", "_at", F.explode("_sizes").alias("_size"))
     pieces = pieces.filter(F.col("_at") + F.col("_size") - 1 <= F.length("_asked"))

@@ -289,3 +289,20 @@ def test_the_output_scan_runs_once_a_document(spark, corpus, monkeypatch):
     for r in scan(want, "raw").collect():
         got = rows[r.question_id]
         assert (got.answer, got.phi_redacted, got.phi_matches) == (r.redacted_text, r.phi_detected, r.phi_matches)
+
+
+def test_names_are_found_across_the_stretches_of_a_long_question(spark, monkeypatch):
+    monkeypatch.setattr(rt, "PLACES_AT_ONCE", 3)
+    names = spark.createDataFrame([("a",), ("b c",), ("de",), ("longest of all",), ("--",)], "entity_id string")
+    texts = [*("x" * k + " longest of all " + "y" * k for k in range(40)), *("z" * k + "De" for k in range(20)), "", "--", None, "B  C", "q" * 500 + "b c" + "q" * 500, "cba"]
+    asked = spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(texts)], "question_id string, question string")
+    got = {r.question_id: r.entity_filter for r in rt.match_entities(asked, names).collect()}
+    plain = lambda t: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split())
+    want = {}
+    for k, t in enumerate(texts):
+        inside = [n for n in ("a", "b c", "de", "longest of all") if n in plain(t or "")]
+        if inside:
+            want[f"q{k}"] = max(inside, key=len)
+    assert got == want
+    none = rt.match_entities(asked, names.limit(0))
+    assert none.count() == 0
